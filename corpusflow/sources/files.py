@@ -24,13 +24,13 @@ MAX_PAIR_CHARS = 300
 
 # --- files -----------------------------------------------------------------
 def list_files(spark: SparkSession, root: str, suffix: str = "") -> list[str]:
-    """Sorted paths directly under ``root`` on any file system Spark can reach."""
+    """Sorted paths directly under ``root``; a table may be one file or a folder of parts."""
     jvm = spark._jvm.org.apache.hadoop.fs
     path = jvm.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    found = [s.getPath().toString() for s in fs.listStatus(path) if s.isFile()]
+    found = [s.getPath().toString() for s in fs.listStatus(path)]
     return sorted((p for p in found if p.endswith(suffix)), key=lambda p: p.rsplit("/", 1)[-1])
 
 
@@ -44,7 +44,7 @@ def file_stem(path: str) -> str:
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx", start: int = 0) -> DataFrame:
-    """Number the rows of a file scan in file order, across splits.
+    """Number the rows of a scan in file-name and file order, across splits and files.
 
     Rows of one file block are numbered where they are read; one count per block shifts them.
     ``df`` has to be a scan, possibly with filters and projections kept above it."""
@@ -53,7 +53,8 @@ def with_row_index(df: DataFrame, name: str = "row_idx", start: int = 0) -> Data
                     F.monotonically_increasing_id().alias("_mid"))
     blocks = src.groupBy("_file", "_block").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per file block, so this window only ever sees scan metadata
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_file", "_block", "_first",
                            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"))
     at = F.col("_base") + F.col("_mid") - F.col("_first") + start
