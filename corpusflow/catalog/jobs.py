@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +28,11 @@ from corpusflow.plans import corpus as cp
 from corpusflow.plans import curation as cu
 from corpusflow.plans import synthesis as sy
 from corpusflow.session import load
+from corpusflow.session import scratch_path as scratch
 from corpusflow.sources import files as fi
 from corpusflow.sources.store import StoreWords
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusflow-")
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks -----------------------------------------------------
 @query("s01_read_jsonl", f"WITH {SQL_EVENTS} SELECT k, count(*) AS rows FROM ev WHERE event_type <> 'view' GROUP BY k")
 def read_jsonl(spark, root):

@@ -9,6 +9,7 @@ from corpusflow.functions.labels import any_hint
 from corpusflow.functions.text import norm_soft, strip
 from corpusflow.functions import lexicons as lx
 from corpusflow.operators.scan import bounded_broadcast, digest
+from corpusflow.session import settle
 
 
 def exact_overlap(prompts: DataFrame, train: DataFrame, prompt: str = "prompt", text: str = "text") -> DataFrame:
@@ -33,6 +34,7 @@ def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.7
     an empty text."""
     sets = train.filter(strip(text) != "").select(token_set(text).alias("t"))
     sets = sets.groupBy(digest(F.array_join("t", " ")).alias("_k")).agg(F.first("t").alias("t")).select("t")
+    sets = settle(sets)
     asked = prompts.select(prompt_id, token_set(prompt).alias("p"))
     vocabulary = bounded_broadcast(asked.select(F.explode("p").alias("token")).distinct())
     seen = sets.select(F.explode("t").alias("token")).join(vocabulary, "token", "left_semi")

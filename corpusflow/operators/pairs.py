@@ -44,7 +44,6 @@ def training_rows(messages: DataFrame, conv: str = "conv_id", pos: str = "turn",
         F.col(role).isin("user", "assistant") & (F.col(text) != "")
     ).withColumn("_chunk", chunk_of(pos))
     seen = with_neighbours(said, [conv], [pos], [role, text, pos], "_chunk", previous="_prev")
-    kept = seen.filter((F.col(role) == "user") | (F.col(f"_prev.{role}") == "user"))
     # a history entry takes at least 17 characters with its separator
     most = limit // 17 + 1
     first = F.row_number().over(Window.partitionBy(conv).orderBy(pos))
@@ -52,14 +51,17 @@ def training_rows(messages: DataFrame, conv: str = "conv_id", pos: str = "turn",
         F.when(F.col(role) == "user", SPEAKER["user"]).otherwise(SPEAKER["assistant"]),
         F.substring(text, 1, limit),
     )
+    turns = with_neighbours(said.select(conv, pos, role, "_chunk", line.alias("line")), [conv], [pos], [role],
+                            "_chunk", previous="_prev")
     heads = (
-        kept.select(conv, pos, line.alias("line")).withColumn("_r", first)
+        turns.filter((F.col(role) == "user") | (F.col(f"_prev.{role}") == "user")).withColumn("_r", first)
         .filter(F.col("_r") <= most).groupBy(conv)
         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("at"), "line"))).alias("_head"))
     )
     chunks = said.select(conv, "_chunk").distinct()
     heads = chunks.join(heads, conv)
-    rows = kept.filter(F.col(role) == "assistant").join(heads, [conv, "_chunk"])
+    rows = seen.filter((F.col(role) == "assistant") & (F.col(f"_prev.{role}") == "user"))
+    rows = rows.join(heads, [conv, "_chunk"])
     asked = F.col(f"_prev.{pos}")
     before = F.transform(F.filter("_head", lambda h: h["at"] < asked), lambda h: h["line"])
     return rows.select(

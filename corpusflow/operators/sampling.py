@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.scan import hash_bucket, hash_order, take_first
+from corpusflow.session import settle
 
 DEFAULT_RATIOS = {"core": 0.40, "ml_deep": 0.20, "signature": 0.20, "agent": 0.10, "memory": 0.10}
 
@@ -56,6 +57,7 @@ def core_tail_select(scored: DataFrame, n: int, seed: int, key: Column, score: s
     """80 % of ``n`` from the best rows (twice that many compete), the rest from the tail.
 
     Scores are compared at six decimals; ties are ordered by the sampling hash."""
+    scored = settle(scored)
     total = scored.count()
     target = min(n, total)
     core = int(target * 0.8)
@@ -63,7 +65,7 @@ def core_tail_select(scored: DataFrame, n: int, seed: int, key: Column, score: s
     h = hash_order(seed, key)
     src = scored.withColumn("_key", key).withColumn("_s", rounded)
     order = [F.col("_s").desc(), h, F.col("_key")]
-    best = take_first(src, core * 2, order, -F.floor(F.col("_s") * 1000))
+    best = settle(take_first(src, core * 2, order, -F.floor(F.col("_s") * 1000)))
     pool = best.select("_key")
     tail = src.join(pool, "_key", "left_anti")
     picked = seeded_sample(best, core, seed, F.col("_key")).unionByName(

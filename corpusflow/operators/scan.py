@@ -79,68 +79,69 @@ def with_neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list
     return out.drop("_local_prev", "_local_next", "_carry_prev", "_carry_next")
 
 
-def running_last(df: DataFrame, keys: list[str], order: list[str], chunk: str,
-                 values: dict[str, Column], inclusive: bool = True) -> DataFrame:
-    """Latest non-NULL value of each expression so far."""
+def scan_features(df: DataFrame, keys: list[str], order: list[str], chunk: str,
+                  sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+                  tails: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
+    """Running features of an ordered key in one pass.
+
+    ``sums``: inclusive running sums; ``lasts``: latest non-NULL value so far; ``tails``: array of
+    an expression over the k rows before. The last row of a chunk holds the chunk's totals, so the
+    carried row comes from the same partitioning as the windows themselves."""
+    sums, lasts, tails = sums or {}, lasts or {}, tails or {}
     inside, across = _windows(keys, chunk, order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    src = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    ends = src.groupBy(*keys, chunk).agg(*[
-        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}")
-        for n in values
-    ]).select(*keys, chunk, *[
-        F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in values
-    ])
-    out = src.select("*", *[
-        F.last(f"_v_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in values
-    ]).join(ends, [*keys, chunk], "left")
-    return out.select(
-        *[F.col(c) for c in df.columns],
-        *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in values],
+    src = df.select(
+        "*", *[v.cast("bigint").alias(f"_s_{n}") for n, v in sums.items()],
+        *[v.alias(f"_l_{n}") for n, v in lasts.items()], *[v.alias(f"_t_{n}") for n, (v, _) in tails.items()])
+    here = src.select(
+        *df.columns,
+        *[F.sum(f"_s_{n}").over(upto).alias(f"_s_{n}") for n in sums],
+        *[F.last(f"_l_{n}", ignorenulls=True).over(upto).alias(f"_l_{n}") for n in lasts],
+        *[F.col(f"_t_{n}") for n in tails],
+        *[F.collect_list(f"_t_{n}").over(inside.rowsBetween(-k, -1)).alias(f"_b_{n}")
+          for n, (_, k) in tails.items()],
     )
+    made = [f"_s_{n}" for n in sums] + [f"_l_{n}" for n in lasts] + [f"_{x}_{n}" for n in tails for x in "tb"]
+    ends = here.groupBy(*keys, chunk).agg(F.max_by(F.struct(*made), F.struct(*order)).alias("_e"))
 
+    def tail_of(n: str, k: int) -> Column:
+        told = F.concat(F.col(f"_e._b_{n}"), F.array(F.col(f"_e._t_{n}")))
+        return F.slice(told, F.greatest(F.size(told) - k, F.lit(0)) + 1, F.lit(k))
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: Column,
-                name: str) -> DataFrame:
-    """Inclusive running sum of an integer expression."""
-    inside, across = _windows(keys, chunk, order)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    src = df.withColumn("_v", value.cast("bigint"))
-    ends = src.groupBy(*keys, chunk).agg(F.sum("_v").alias("_s")).select(
-        *keys, chunk, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c")
+    ends = ends.select(*keys, chunk, "_e", *[tail_of(n, k).alias(f"_k_{n}") for n, (_, k) in tails.items()]).select(
+        *keys, chunk,
+        *[F.sum(f"_e._s_{n}").over(before).alias(f"_cs_{n}") for n in sums],
+        *[F.last(f"_e._l_{n}", ignorenulls=True).over(before).alias(f"_cl_{n}") for n in lasts],
+        # every chunk holds a row, so k earlier chunks are enough
+        *[F.flatten(F.collect_list(f"_k_{n}").over(across.rowsBetween(-k, -1))).alias(f"_ct_{n}")
+          for n, (_, k) in tails.items()],
     )
-    local = F.sum("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        src.withColumn("_l", local).join(ends, [*keys, chunk], "left")
-        .withColumn(name, F.col("_l") + F.col("_c")).drop("_v", "_l", "_c")
+    both = here.join(ends, [*keys, chunk], "left").withColumns({
+        f"_j_{n}": F.concat(F.coalesce(F.col(f"_ct_{n}"), F.slice(F.col(f"_b_{n}"), 1, 0)), F.col(f"_b_{n}"))
+        for n in tails}) if tails else here.join(ends, [*keys, chunk], "left")
+    return both.select(
+        *df.columns,
+        *[(F.col(f"_s_{n}") + F.coalesce(F.col(f"_cs_{n}"), F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(f"_l_{n}", f"_cl_{n}").alias(n) for n in lasts],
+        *[F.slice(f"_j_{n}", F.greatest(F.size(f"_j_{n}") - k, F.lit(0)) + 1, F.lit(k)).alias(n)
+          for n, (_, k) in tails.items()],
     )
 
 
-def last_rows(df: DataFrame, keys: list[str], order: list[str], chunk: str, item: Column, k: int,
-              name: str) -> DataFrame:
+def running_last(df: DataFrame, keys: list[str], order: list[str], chunk: str, values: dict[str, Column]) -> DataFrame:
+    """Latest non-NULL value of each expression so far."""
+    return scan_features(df, keys, order, chunk, lasts=values)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], chunk: str, value: Column, name: str) -> DataFrame:
+    """Inclusive running sum of an integer expression."""
+    return scan_features(df, keys, order, chunk, sums={name: value})
+
+
+def last_rows(df: DataFrame, keys: list[str], order: list[str], chunk: str, item: Column, k: int, name: str) -> DataFrame:
     """Array of ``item`` over the ``k`` rows before each row."""
-    inside, across = _windows(keys, chunk, order)
-    src = df.withColumn("_item", item)
-    back = Window.partitionBy(*keys, chunk).orderBy(*[F.col(o).desc() for o in order])
-    at = F.struct(*order, F.col("_item").alias("_item"))
-    tails = (
-        src.withColumn("_r", F.row_number().over(back)).filter(F.col("_r") <= k)
-        .groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(at)).alias("_t"))
-        .select(*keys, chunk, F.transform("_t", lambda x: x["_item"]).alias("_t"))
-        # every chunk holds a row, so k earlier chunks are enough
-        .select(*keys, chunk,
-                F.flatten(F.collect_list("_t").over(across.rowsBetween(-k, -1))).alias("_c"))
-    )
-    local = F.collect_list("_item").over(inside.rowsBetween(-k, -1))
-    out = src.withColumn("_l", local).join(tails, [*keys, chunk], "left")
-    both = F.concat(F.coalesce("_c", F.array_repeat(F.lit(None).cast(src.schema["_item"].dataType), 0)), "_l")
-    start = F.greatest(F.size("_both") - k, F.lit(0)) + 1
-    return (
-        out.withColumn("_both", both)
-        .withColumn(name, F.slice("_both", start, F.lit(k)))
-        .drop("_item", "_l", "_c", "_both")
-    )
+    return scan_features(df, keys, order, chunk, tails={name: (item, k)})
 
 
 # --- top-n -----------------------------------------------------------------

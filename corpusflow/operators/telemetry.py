@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import strip, text_of
 from corpusflow.operators.fold import ordered_fold
-from corpusflow.operators.scan import running_last, running_sum, time_chunk
+from corpusflow.operators.scan import running_sum, time_chunk
 
 
 def traffic_metrics(events: DataFrame, intent: str = "intent") -> DataFrame:
@@ -136,15 +136,21 @@ def rate_quota(requests: DataFrame, limits: dict[str, tuple[int, int]] | None =
 def failure_streak(calls: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     """Errors in a row up to each call, reset by a success.
 
-    Both counts run over time chunks; the streak is the errors so far minus the errors before
-    the last success."""
-    order = ["ts", "seq"]
+    The streak is the errors so far minus the errors up to the last success; both are counted
+    inside time chunks and shifted by one summary row per chunk."""
+    keys = ["provider", "_chunk"]
     src = calls.withColumn("_chunk", time_chunk("ts", chunk_seconds))
-    counted = running_sum(src, ["provider"], order, "_chunk", (~F.col("ok")).cast("int"), "_errors")
-    based = running_last(counted, ["provider"], order, "_chunk",
-                         {"_base": F.when(F.col("ok"), F.col("_errors"))})
-    return based.withColumn("streak", F.col("_errors") - F.coalesce("_base", F.lit(0))).select(
-        *calls.columns, "streak")
+    inside = Window.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    here = src.withColumn("_errors", F.sum((~F.col("ok")).cast("bigint")).over(inside))
+    here = here.withColumn("_base", F.last(F.when(F.col("ok"), F.col("_errors")), ignorenulls=True).over(inside))
+    before = Window.partitionBy("provider").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # both counters only grow inside a chunk
+    ends = here.groupBy(*keys).agg(F.max("_errors").alias("_e"), F.max("_base").alias("_b"))
+    ends = ends.withColumn("_ein", F.coalesce(F.sum("_e").over(before), F.lit(0)))
+    ends = ends.withColumn("_bin", F.coalesce(F.last(F.col("_ein") + F.col("_b"), ignorenulls=True).over(before), F.lit(0)))
+    both = here.join(ends.select(*keys, "_ein", "_bin"), keys, "left")
+    streak = F.col("_ein") + F.col("_errors") - F.coalesce(F.col("_ein") + F.col("_base"), F.col("_bin"))
+    return both.withColumn("streak", streak).select(*calls.columns, "streak")
 
 
 def circuit_step(state: tuple, ts: float, ok: bool, first_attempt: bool, k: int, secs: float) -> tuple:
@@ -167,22 +173,23 @@ def circuit_intervals(calls: DataFrame, k: int = 3, secs: int = 60, chunk_second
 
     A refused call does not count, so the outcome feeds back into the state and needs a fold. A
     success at least ``secs`` after the last error is certainly let through and resets the
-    state, so each provider is cut there and its segments are folded in parallel."""
+    state, so each provider is cut there and its segments are folded in parallel. The cuts are
+    found inside time chunks: errors of earlier chunks lie before the start of the chunk."""
     order = ["ts", "seq"]
-    wait = float(max(1, secs))
+    wait = max(1, secs) * 1_000_000
     src = calls if "attempt" in calls.columns else calls.withColumn("attempt", F.lit(1))
-    src = src.withColumn("_chunk", time_chunk("ts", chunk_seconds))
-    seen = running_last(src, ["provider"], order, "_chunk",
-                        {"_error_at": F.when(~F.col("ok"), F.unix_micros("ts"))}, inclusive=False)
-    quiet = F.coalesce(F.unix_micros("ts") - F.col("_error_at") >= wait * 1_000_000, F.lit(True))
-    cut = F.col("ok") & (F.col("attempt") == 1) & quiet
-    parts = running_sum(seen, ["provider"], order, "_chunk", cut.cast("int"), "_segment")
+    src = src.withColumn("_chunk", time_chunk("ts", chunk_seconds)).withColumn("_at", F.unix_micros("ts"))
+    earlier = Window.partitionBy("provider", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    error_at = F.last(F.when(~F.col("ok"), F.col("_at")), ignorenulls=True).over(earlier)
+    quiet = F.col("_at") - F.coalesce(error_at, F.col("_chunk") * F.lit(chunk_seconds * 1_000_000)) >= wait
+    seen = src.withColumn("_cut", (F.col("ok") & (F.col("attempt") == 1) & quiet).cast("int"))
+    parts = running_sum(seen, ["provider"], order, "_chunk", F.col("_cut"), "_segment")
     ready = parts.select(F.col("provider").cast("string").alias("provider"), "_segment", "seq",
                          (F.unix_micros("ts") / F.lit(1e6)).alias("at"), "ok",
                          (F.col("attempt") == 1).alias("first"))
 
     def step(state, row):
-        state, refused, alert = circuit_step(state, row.at, row.ok, row.first, k, wait)
+        state, refused, alert = circuit_step(state, row.at, row.ok, row.first, k, wait / 1e6)
         until = state[1] if state[1] > row.at else math.nan
         return state, (row.provider, row.seq, refused, state[0], alert, until)
 

@@ -14,6 +14,7 @@ from corpusflow.operators.policy import (
     CleaningPolicy, FeedbackPolicy, domain_filter, feedback_filter, policy_waterfall,
 )
 from corpusflow.operators.sampling import DEFAULT_RATIOS, quota_plan, ratio_quota, seeded_sample
+from corpusflow.session import settle
 from corpusflow.sources.files import exists, file_stem, read_pairs_csv
 
 GROUPS = ["core", "ml_deep", "signature", "agent", "memory"]
@@ -79,7 +80,7 @@ def cap_files(rows: DataFrame, policy: BundlePolicy) -> DataFrame:
 
 def mix_groups(rows: DataFrame, policy: BundlePolicy) -> tuple[DataFrame, DataFrame]:
     """Cleaned rows sampled to their group quota, and the cleaning counts."""
-    clean, counts = policy_waterfall(rows, policy.cleaning, "group")
+    clean, counts = policy_waterfall(rows, policy.cleaning, "group", settled=True)
     if policy.strict_domain:
         clean = domain_filter(clean, policy.domain_words, "group")
     return ratio_quota(clean, max(1, policy.total), policy.ratios, policy.seed, row_key()), counts
@@ -90,7 +91,7 @@ def build_feeding_bundle(events: DataFrame, rows: DataFrame, policy: BundlePolic
     """``feedback``, ``bundle``, ``cleaning`` and ``feedback_counts``.
 
     Bundle order: groups in their order, then feedback (``src_rank``)."""
-    feedback, feedback_counts = feedback_filter(events, policy.feedback)
+    feedback, feedback_counts = feedback_filter(settle(events), policy.feedback)
     feedback = seeded_sample(feedback, max(1, policy.max_feedback), policy.seed, row_key())
     mixed, cleaning = mix_groups(cap_files(rows, policy), policy)
     place = F.create_map(*[x for i, g in enumerate(GROUPS) for x in (F.lit(g), F.lit(i))])
@@ -101,6 +102,8 @@ def build_feeding_bundle(events: DataFrame, rows: DataFrame, policy: BundlePolic
     ).unionByName(feedback.select(
         "instruction", "response", "history", "source", F.lit("feedback").alias("group"),
         F.lit(len(GROUPS) * 1_000_000).cast("bigint").alias("src_rank"), "row_idx"))
+    # at most the bundle target and the feedback cap; every further count reads this copy
+    bundle = settle(bundle)
     if policy.dedupe:
         bundle = first_wins_dedupe(bundle, pair_key("normalized"))
     return {"feedback": feedback, "bundle": bundle, "cleaning": cleaning, "feedback_counts": feedback_counts}

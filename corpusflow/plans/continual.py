@@ -11,6 +11,7 @@ from corpusflow.functions.labels import conversation_key
 from corpusflow.functions.text import norm_text, strip, text_of
 from corpusflow.operators.pairs import training_rows
 from corpusflow.operators.sampling import head_per_file
+from corpusflow.session import settle
 from corpusflow.sources.store import (
     StoreWords, conversation_score, conversation_table, headers_from_pairs, merge_messages,
     messages_from_pairs, select_conversations,
@@ -92,8 +93,8 @@ def score_and_select(headers: DataFrame, messages: DataFrame, policy: ContinualP
 def export_rows(headers: DataFrame, messages: DataFrame, policy: ContinualPolicy) -> DataFrame:
     """Training rows of the selected conversations with the dataset they belong to."""
     chosen = headers.filter(F.col("status") == "selected").select("conv_id")
-    told = messages.join(chosen, "conv_id", "left_semi").select(
-        "conv_id", "seq", "role", F.col("content").alias("text"), "intent", "structure_type")
+    told = settle(messages.join(chosen, "conv_id", "left_semi").select(
+        "conv_id", "seq", "role", F.col("content").alias("text"), "intent", "structure_type"))
     rows = training_rows(told, "conv_id", "seq", source="continual_db_selected",
                          extra=["intent", "structure_type"])
     asked = norm_text("instruction")
@@ -114,8 +115,9 @@ def continual_conversations(pairs: DataFrame, policy: ContinualPolicy = Continua
     """Ingest, score, select, export. Seed rows are read only when the log had nothing."""
     if seeds is not None and pairs.isEmpty():
         pairs = seed_pairs(seeds, policy.seed_rows_per_file, F.current_timestamp().cast("string"))
-    table, merged, added = ingest(headers, messages, pairs, policy.words)
-    table = score_and_select(table, merged, policy)
+    table, merged, added = ingest(headers, messages, settle(pairs), policy.words)
+    merged = settle(merged)
+    table = settle(score_and_select(table, merged, policy))
     rows = export_rows(table, merged, policy)
     out = {"conversations": table, "messages": merged, "added": added, "rows": rows}
     for name in ("core_qa", "agent_actions", "context_memory", "style_signature"):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ def local_session(cores: str | int = "*", shuffle: int = 8, app: str = "corpusfl
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -37,11 +40,19 @@ def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return df
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder the cluster names; ``fallback`` is used only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = fallback
-    if path:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the shared one the cluster names; machine-local only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="corpusflow-")
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read, and continue from the written copy.
+
+    The copy cuts the lineage, survives lost executors, and gives the readers column pruning
+    and real sizes."""
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
