@@ -286,7 +286,8 @@ def reingest(spark, root):
     p = cn.pairs_from_events(_exchange_log(spark, root))
     headers, messages, _ = cn.ingest(None, None, p, CONTINUAL.words)
     _, again, added = cn.ingest(headers, messages, p, CONTINUAL.words)
-    return again.agg(F.count(F.lit(1)).alias("messages")).crossJoin(added.agg(F.sum("added").alias("added")))  # two single rows
+    total = added.agg(F.sum("added").alias("added"))
+    return again.agg(F.count(F.lit(1)).alias("messages")).withColumn("added", total.scalar())
 
 
 # --- pages -----------------------------------------------------------------

@@ -56,9 +56,8 @@ def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.7
         .filter(inter / (a + b - inter) >= threshold)
         .select(prompt_id).distinct()
     )
-    blank = asked.filter(n == 0).select(prompt_id).join(
-        sets.filter(F.size("t") == 0).select(F.lit(1).alias("_one")).limit(1), F.lit(True), "left_semi"
-    )
+    blank_texts = sets.filter(F.size("t") == 0).agg(F.count(F.lit(1)).alias("_n"))
+    blank = asked.filter((n == 0) & (blank_texts.scalar() > 0)).select(prompt_id)
     return near.unionByName(blank)
 
 
@@ -70,7 +69,9 @@ def contamination_report(prompts: DataFrame, train: DataFrame, threshold: float
         F.count(F.lit(1)).alias("high_jaccard_overlap"))
     total = prompts.agg(F.count(F.lit(1)).alias("prompts"))
     safe = F.greatest(F.lit(1), F.col("prompts"))
-    return total.crossJoin(exact).crossJoin(near).select(  # three one-row tables
+    counted = total.select(
+        "prompts", exact.scalar().alias("exact_norm_overlap"), near.scalar().alias("high_jaccard_overlap"))
+    return counted.select(
         "prompts", "exact_norm_overlap", "high_jaccard_overlap",
         F.round(F.col("exact_norm_overlap") / safe, 4).alias("exact_norm_overlap_rate"),
         F.round(F.col("high_jaccard_overlap") / safe, 4).alias("high_jaccard_overlap_rate"),

@@ -159,34 +159,28 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
     """First ``n`` rows per group by ``order``.
 
     ``bucket`` is a coarse version of the leading order column (smaller comes first, at most
-    some 10^5 values). A histogram tells which bucket holds the n-th row; earlier buckets pass
-    whole, later ones drop out during the scan and only the border bucket is ranked. ``n`` may
-    be a column of ``df`` that is constant per group, ``most`` then is its upper bound.
-    """
+    some 10^5 values). A histogram tells which bucket holds the n-th row; later buckets drop out
+    during the scan. Without a group the rest is a bounded top-n. With groups, earlier buckets
+    are certain and only the border bucket is decided by rank; groups need an order whose
+    buckets stay small, such as a hash or a position. ``n`` may be a column of ``df`` that is
+    constant per group, ``most`` then is its upper bound."""
     group = list(group)
     size = F.lit(n) if isinstance(n, int) else n
     bound = n if isinstance(n, int) else most
     src = df.select("*", bucket.alias("_b"), size.cast("bigint").alias("_n"))
-    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     hist = src.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_q"))
-    before = F.coalesce(
-        F.sum("_c").over(by_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    cut = (
-        hist.withColumn("_before", before).filter(F.col("_before") < F.col("_q"))
-        .groupBy(*group)
-        .agg(F.max("_b").alias("_cut"), F.max(F.col("_q") - F.col("_before")).alias("_x"),
-             F.min_by(F.col("_q") - F.col("_before"), -F.col("_b")).alias("_need"))
-        .drop("_x")
-    )
-    if group:
-        marked = src.join(cut, group)
-    else:
-        marked = src.crossJoin(F.broadcast(cut))  # exactly one row
-    near = marked.filter(F.col("_b") <= F.col("_cut"))
+    # one row per bucket and group
+    earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = hist.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).filter(
+        F.col("_before") < F.col("_q"))
+    if not group:
+        last = cut.agg(F.max("_b").alias("_cut"))
+        return src.filter(F.col("_b") <= last.scalar()).orderBy(*order).limit(bound).select(*df.columns)
+    cut = cut.groupBy(*group).agg(
+        F.max("_b").alias("_cut"), F.max_by(F.col("_q") - F.col("_before"), "_b").alias("_need"))
+    near = src.join(cut, group).filter(F.col("_b") <= F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order))
-    out = near.withColumn("_r", rank)
+    out = near.withColumn("_r", rank).filter(F.col("_r") <= bound)
     inside = (F.col("_b") < F.col("_cut")) | (F.col("_r") <= F.col("_need"))
     return out.filter(inside).select(*df.columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.text import collapse, html_text, html_title, strip, text_of, tokens, url_domain
 from corpusflow.operators.scan import bounded_broadcast
+from corpusflow.session import settle
 
 
 def window_chunks(text: Column, size: int = 1200, overlap: int = 200) -> Column:
@@ -79,8 +80,8 @@ def document_frequency(docs: DataFrame, text: str = "text", kind: str = "letters
     if vocabulary is not None:
         terms = terms.join(vocabulary, "token", "left_semi")
     freq = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return freq.crossJoin(F.broadcast(n)).select(
-        "token", "df", idf_value(F.greatest(F.col("_n"), F.lit(1)), F.col("df")).alias("idf")
+    return freq.select(
+        "token", "df", idf_value(F.greatest(n.scalar(), F.lit(1)), F.col("df")).alias("idf")
     )
 
 
@@ -90,8 +91,8 @@ def tfidf_join(queries: DataFrame, docs: DataFrame, kind: str = "knowledge", que
     """``(query, doc, score)`` of every pair that shares a term.
 
     ``knowledge``: sum of qtf * tf * idf. ``web``: the same plus twice the share of distinct query
-    terms found. Each occurrence of a term adds qtf * idf, so the documents need no term-frequency
-    shuffle; with few queries their terms are broadcast and only matches move."""
+    terms found. Only query terms leave the documents, counted per document on the map side; with
+    few queries their terms are broadcast and only matches move."""
     doc = list(doc)
     tokenizer = {"knowledge": "letters2", "web": "ascii"}[kind]
     asked = queries.select(query, F.explode(tokens(query_text, tokenizer)).alias("token"))
@@ -101,21 +102,18 @@ def tfidf_join(queries: DataFrame, docs: DataFrame, kind: str = "knowledge", que
         idf = document_frequency(docs, text, tokenizer, kind == "knowledge", vocabulary)
     # distinct terms of the query, counted before terms unknown to the documents drop out
     size = qtf.groupBy(query).agg(F.count(F.lit(1)).alias("_size"))
-    weighted = bounded_broadcast(
+    # a row per query and term: small, read several times, and the end of a pass over the documents
+    weighted = settle(
         qtf.join(size, query).join(idf.select("token", "idf"), "token")
         .select(query, "token", "_size", (F.col("qtf") * F.col("idf")).alias("w"))
     )
     terms = docs.select(*doc, F.explode(tokens(text, tokenizer)).alias("token"))
-    hits = terms.join(weighted, "token")
+    known = bounded_broadcast(weighted.select("token").distinct())
+    tf = terms.join(known, "token", "left_semi").groupBy(*doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    score = F.sum(F.col("w") * F.col("tf"))
     if kind == "web":
-        per_term = hits.groupBy(query, *doc, "token").agg(
-            F.sum("w").alias("part"), F.first("_size").alias("_size")
-        )
-        scored = per_term.groupBy(query, *doc).agg(
-            (F.sum("part") + F.lit(2.0) * F.count(F.lit(1)) / F.first("_size")).alias("score")
-        )
-    else:
-        scored = hits.groupBy(query, *doc).agg(F.sum("w").alias("score"))
+        score = score + F.lit(2.0) * F.count(F.lit(1)) / F.first("_size")
+    scored = tf.join(bounded_broadcast(weighted), "token").groupBy(query, *doc).agg(score.alias("score"))
     return scored.filter(F.col("score") > 0)
 
 

@@ -126,8 +126,8 @@ def run_report(result: dict[str, DataFrame], policy: BundlePolicy, inputs: dict
     plan = quota_plan(max(1, policy.total), policy.ratios)
     targets = F.create_map(*[x for k, n in plan.items() for x in (F.lit(k), F.lit(n))])
     echo = {k: v for k, v in asdict(policy).items() if k not in ("cleaning", "feedback")}
-    # three one-row tables
-    return counts.crossJoin(cleaning).crossJoin(feedback).select(
-        F.lit(str(inputs or {})).alias("inputs"), "counts", "cleaning_filter", "feedback_filter",
+    return counts.select(
+        F.lit(str(inputs or {})).alias("inputs"), "counts", cleaning.scalar().alias("cleaning_filter"),
+        feedback.scalar().alias("feedback_filter"),
         targets.alias("targets"), F.lit(str(echo)).alias("policy"),
     )

@@ -121,14 +121,14 @@ def conversation_score(messages: DataFrame, min_score: float, key: str = "conv_i
 
 def mark_selected(convs: DataFrame, ids: DataFrame, key: str = "conv_id") -> DataFrame:
     """Selected ids get the status; the earlier selection is released unless nothing qualifies."""
-    any_row = ids.agg((F.count(F.lit(1)) > 0).alias("_any"))  # one row
+    found = ids.agg((F.count(F.lit(1)) > 0).alias("_any")).scalar()
     chosen = ids.select(key).distinct().withColumn("_chosen", F.lit(True))
-    rows = convs.join(chosen, key, "left").crossJoin(F.broadcast(any_row))
+    rows = convs.join(chosen, key, "left")
     status = (
         F.when(F.col("_chosen"), "selected")
-        .when(F.col("_any") & (F.col("status") == "selected"), "filtered").otherwise(F.col("status"))
+        .when(found & (F.col("status") == "selected"), "filtered").otherwise(F.col("status"))
     )
-    return rows.withColumn("status", status).drop("_chosen", "_any")
+    return rows.withColumn("status", status).drop("_chosen")
 
 
 def select_conversations(convs: DataFrame, n: int, min_score: float) -> DataFrame:
