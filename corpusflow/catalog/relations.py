@@ -9,11 +9,10 @@ from corpusflow.catalog.base import (
     documents, has, norm, pairs, query, requests, soft, strip, toks, word, words,
 )
 from corpusflow.catalog.expressions import (
-    DOMAIN, FLAG_WORDS, RARE, SCORE_WORDS, SLOTS, sql_flags, sql_message_score, sql_quality, sql_slots,
+    FLAG_WORDS, SCORE_WORDS, SLOTS, sql_flags, sql_message_score, sql_quality, sql_slots,
     sql_structured, sql_toxic,
 )
 from corpusflow.functions import labels as lb
-from corpusflow.functions import lexicons as lx
 from corpusflow.functions import text as tx
 from corpusflow.operators import dedupe as dd
 from corpusflow.operators import evaluate as ev
@@ -24,7 +23,6 @@ from corpusflow.operators import sampling as sm
 from corpusflow.operators import search as se
 from corpusflow.operators import sessions as ss
 from corpusflow.operators import telemetry as te
-from corpusflow.operators.scan import digest
 from corpusflow.plans.curation import opening_frequency
 from corpusflow.session import load
 from corpusflow.sources import store as st
