@@ -570,7 +570,7 @@ def expire_jobs(spark, root):
 
 
 @query("c18_task_progress", f"""
-WITH {SQL_EVENTS}, t AS (SELECT user_id AS task_id, count(DISTINCT CASE WHEN k % 3 = 0 THEN 'step' || (k % 10) END) AS done,
+WITH {SQL_EVENTS}, t AS (SELECT user_id AS task_id, count(DISTINCT CASE WHEN k % 25 = 5 THEN 'step' || (k % 10) END) AS done,
   count_if(event_type = 'error' AND k % 40 = 1)::BIGINT AS errors, arg_max(k % 11 = 0, (ts, event_id)) AS closed, user_id % 6 AS planned FROM ev GROUP BY user_id)
 SELECT task_id, planned, done AS done_count, greatest(0, planned - done) AS remaining_steps, errors,
   CASE WHEN closed OR (planned > 0 AND done >= planned) THEN 'done' WHEN errors > 0 THEN 'blocked' ELSE 'active' END AS status FROM t""")
@@ -580,7 +580,7 @@ def task_progress(spark, root):
         "steps", F.transform(F.slice(F.array(*[F.lit(f"p{i}") for i in range(6)]), F.lit(1), (F.col("task_id") % 6).cast("int")), lambda s: s))
     events = e.select(
         F.col("user_id").alias("task_id"), "ts", F.col("event_id").alias("seq"),
-        F.when(F.col("k") % 3 == 0, F.concat(F.lit(" step"), (F.col("k") % 10).cast("string"))).alias("done_step"),
+        F.when(F.col("k") % 25 == 5, F.concat(F.lit(" step"), (F.col("k") % 10).cast("string"))).alias("done_step"),
         F.when((F.col("event_type") == "error") & (F.col("k") % 40 == 1), "boom").alias("error"), (F.col("k") % 11 == 0).alias("mark_done"))
     return te.task_progress(tasks, events)
 
