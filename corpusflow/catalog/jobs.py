@@ -382,8 +382,9 @@ def signature_score(spark, root):
 
 @query("c09_select_signature", f"""
 WITH {SQL_SIGNATURE}, r AS (SELECT doc_id, {sql_hash(42, 'doc_id')} AS h, row_number() OVER (ORDER BY round(score, 6) DESC, {sql_hash(42, 'doc_id')}, doc_id::VARCHAR) AS r FROM sc),
-c AS (SELECT *, row_number() OVER (PARTITION BY r <= 320 ORDER BY h, doc_id::VARCHAR) AS k FROM r)
-SELECT doc_id FROM c WHERE (r <= 320 AND k <= 160) OR (r > 320 AND k <= 40)""")
+z AS (SELECT least(200, count(*)) AS target, floor(least(200, count(*)) * 0.8::DOUBLE)::BIGINT AS core FROM sc),
+c AS (SELECT *, row_number() OVER (PARTITION BY r <= 2 * core ORDER BY h, doc_id::VARCHAR) AS k FROM r, z)
+SELECT doc_id FROM c WHERE (r <= 2 * core AND k <= core) OR (r > 2 * core AND k <= target - core)""")
 def select_signature(spark, root):
     return cu.select_signature(doc_rows(spark, root), 200).select("doc_id")
 
