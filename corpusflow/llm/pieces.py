@@ -3,7 +3,7 @@
 Blanks become U+2581 and one goes in front. No piece crosses from another character into U+2581 or holds
 a character that only stands alone, so the text falls into words that are encoded on their own. Distinct
 words are encoded once: their substrings up to the longest piece are exploded and equi-joined to the piece
-table, the edges are grouped by word, and a higher-order ``aggregate`` folds them into the segmentation.
+table, the edges are grouped by word, and a higher-order ``aggregate`` folds them into the cuts of the word.
 
 The public model is of the merging kind: its scores are ranks of merges, and the path with the best sum is
 not the encoding that the model defines. So the fold replays the merges instead of Viterbi's recursion:
@@ -110,40 +110,52 @@ def _bit(value: int, by) -> F.Column:
     return F.call_function("shiftleft", F.lit(value).cast("long"), by)
 
 
-def encode_words(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """word and its ids; ``words`` has distinct words of at most LONGEST characters, dealt by word."""
+def cut_words(words: DataFrame, v: Vocabulary) -> DataFrame:
+    """word and ``cuts``, the ends of its pieces as bits; ``words`` has distinct words of at most LONGEST
+    characters, dealt by word. A word in which no two characters join has no row."""
     spark = words.sparkSession
     longest = max(map(len, v.pieces))
-    table = spark.createDataFrame([(p, float(r), i) for p, (r, i) in v.pieces.items()], "piece string, rank double, id int")
+    ranks = {r: k for k, r in enumerate(sorted({r for r, _ in v.pieces.values()}))}
+    table = spark.createDataFrame([(p, ranks[r]) for p, (r, _) in v.pieces.items() if len(p) > 1], "piece string, rank long")
     n = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(longest), n - s)),
-        lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("word"), s + 1, k).alias("sub")))))
-    edges = words.select("word", F.explode(subs).alias("x")).select("word", "x.s", "x.e", "x.sub")
-    # the vocabulary has a fixed size; single characters stay without a piece, as bytes
-    edges = edges.join(F.broadcast(table), edges["sub"] == table["piece"], "left").filter("id is not null or e - s = 1")
-    inner, ends = _bit(1, F.col("e")) - _bit(2, F.col("s")), _bit(1, F.col("s")) + _bit(1, F.col("e"))
-    edges = edges.select("word", F.struct(F.coalesce("rank", F.lit(float("inf"))).alias("rank"), "s", "e", inner.alias("inner"), ends.alias("ends"), "id").alias("edge"))
+    spans = words.filter(n > 1).select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    spans = spans.select("word", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("s")))).alias("k"))
+    spans = spans.withColumn("sub", F.substring("word", F.col("s") + 1, F.col("k")))
+    # the vocabulary has a fixed size; an edge is one number, in the order of rank and place
+    edges = spans.join(F.broadcast(table), spans["sub"] == table["piece"]).select(
+        "word", (_shift("rank", 16) + _shift("s", 8) + F.col("s") + F.col("k")).alias("edge"))
     grouped = edges.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    merging = F.filter("edges", lambda x: x["e"] - x["s"] > 1)
 
-    def best(mask):
-        return F.aggregate("merging", F.lit(0).cast("long"), lambda found, x: F.when(found != 0, found).when(
+    def bits(x):
+        a, b = F.call_function("shiftright", x, F.lit(8)).bitwiseAND(255).cast("int"), x.bitwiseAND(255).cast("int")
+        return F.struct((_bit(1, a) + _bit(1, b)).alias("ends"), (_bit(1, b) - _bit(2, a)).alias("inner"))
+
+    def best(state):
+        mask = state["mask"]
+        return F.aggregate(state["edges"], F.lit(0).cast("long"), lambda found, x: F.when(found != 0, found).when(
             (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1), x["inner"]).otherwise(found))
 
-    full = _bit(2, F.length("word")) - 1
-    steps = F.when(F.size("merging") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.length("word")))
-    folded = grouped.withColumn("merging", merging).withColumn(
-        "cuts", F.aggregate(steps, full, lambda mask, _: mask.bitwiseAND(F.bitwise_not(best(mask)))))
-    used = F.filter("edges", lambda x: (F.col("cuts").bitwiseAND(x["ends"]) == x["ends"]) & (F.col("cuts").bitwiseAND(x["inner"]) == 0))
-    used = F.sort_array(F.transform(used, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"))))
+    # the edges are part of the state, so that they are unpacked once
+    start = F.struct((_bit(2, F.length("word")) - 1).alias("mask"), F.transform("edges", bits).alias("edges"))
+    return grouped.select("word", F.aggregate(
+        F.sequence(F.lit(2), F.length("word")), start,
+        lambda state, _: F.struct(state["mask"].bitwiseAND(F.bitwise_not(best(state))).alias("mask"), state["edges"].alias("edges")),
+        lambda state: state["mask"]).alias("cuts"))
+
 
-    def as_bytes(x):
-        h = F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int") + v.byte0)
+def _shift(name: str, by: int) -> F.Column:
+    return F.call_function("shiftleft", F.col(name).cast("long"), F.lit(by))
 
-    ids = F.flatten(F.transform(used, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(as_bytes(x))))
-    return folded.select("word", ids.alias("ids"))
+
+def _ids(word: str, cuts: int | None, v: Vocabulary) -> list[int]:
+    """Ids of the pieces between the cuts; without cuts every character stands alone."""
+    out, a = [], 0
+    for b in range(1, len(word) + 1):
+        if cuts is None or cuts >> b & 1:
+            found = v.pieces.get(word[a:b])
+            out += [found[1]] if found else [v.byte0 + x for x in word[a:b].encode("utf-8", "replace")]
+            a = b
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list]]:
@@ -154,6 +166,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, xxhash.xxh64_intdigest(np.ascontiguousarray(buf), len(offsets)) >> 1, part.column(part.schema.get_field_index("text")).to_pylist()
 
 
+def _simple(text: str) -> bool:
+    """No blank beside another or in front, and no word mark: splitting at blanks finds the words."""
+    return not text.startswith(" ") and "  " not in text and MARK not in text
+
+
 def _words(text: str, find) -> list[str]:
     return find(MARK + text.replace(" ", MARK)) if text else []
 
@@ -167,9 +184,14 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
         find = re.compile(pattern, re.S).findall
         for _, shard, texts in _shards(batches):
             seen: set[str] = set()
+            tokens: set[str] = set()
             for t in texts:
-                if t:
+                if t and _simple(t):
+                    tokens.update(t.split(" "))
+                elif t:
                     seen.update(_words(t, find))
+            for token in tokens:
+                seen.update(find(MARK + token))
             own = [w for w in seen if len(w) <= LONGEST]
             for lo in range(0, len(own), 50_000):
                 some = own[lo:lo + 50_000]
@@ -185,17 +207,15 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
                 cols[0].append(shard)
                 cols[1].append(squeeze.compress(b"".join(raw)))
                 cols[2].append(squeeze.compress(np.array([[len(r) for r in raw], [len(i) for i in ids]], np.uint8).tobytes()))
-                cols[3].append(squeeze.compress(np.concatenate(ids).astype("<u2" if len(v.raw) <= 1 << 16 else "<u4").tobytes()))
+                cols[3].append(squeeze.compress(np.array([x for i in ids for x in i], "<u2" if len(v.raw) <= 1 << 16 else "<u4").tobytes()))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "words", "sizes", "ids"])
 
         for batch in batches:
-            ids = batch.column(2)
-            values, at = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-            for k, (shard, word) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for shard, word, cuts in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 w, i = held.setdefault(shard, ([], []))
                 w.append(word)
-                i.append(values[at[k]:at[k + 1]])
+                i.append(_ids(word, cuts, v))
             n += batch.num_rows
             if n > 400_000:
                 yield flush()
@@ -205,8 +225,8 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
 
     parts = 4 * spread(docs)
     pairs = docs.select("text").mapInArrow(report, "shard long, word string").repartition(parts, "word")
-    coded = encode_words(pairs.select("word").distinct(), v)
-    back = pairs.join(coded.hint("shuffle_hash"), "word").select("shard", "word", "ids").mapInArrow(pack, "shard long, words binary, sizes binary, ids binary")
+    coded = cut_words(pairs.select("word").distinct(), v)
+    back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, sizes binary, ids binary")
     path = scratch_path(spark)
     (back.withColumn("bucket", F.pmod("shard", F.lit(BUCKETS))).repartition(spread(docs), "bucket")
      .write.partitionBy("bucket").parquet(path))
@@ -251,17 +271,29 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         find = re.compile(vocabulary.pattern, re.S).findall
         for part, shard, texts in _shards(batches):
             known = _dictionary(folder, shard, kind.itemsize)
+            def packed(words: list[str]) -> bytes:
+                for w in words:
+                    if w not in known:
+                        known[w] = np.array(merge(w, vocabulary), kind).tobytes()
+                return b"".join([known[w] for w in words])
+
+            tokens: dict[str, bytes] = {}
             for lo in range(0, len(texts), 256):
                 rows, size = [], []
                 for t in texts[lo:lo + 256]:
-                    words = _words(t, find) if t else []
-                    try:
-                        raw = b"".join([known[w] for w in words])
-                    except KeyError:
-                        for w in words:
-                            if w not in known:
-                                known[w] = np.array(merge(w, vocabulary), kind).tobytes()
-                        raw = b"".join([known[w] for w in words])
+                    if not t:
+                        raw = b""
+                    elif _simple(t):
+                        split = t.split(" ")
+                        try:
+                            raw = b"".join([tokens[x] for x in split])
+                        except KeyError:
+                            for x in split:
+                                if x not in tokens:
+                                    tokens[x] = packed(find(MARK + x))
+                            raw = b"".join([tokens[x] for x in split])
+                    else:
+                        raw = packed(_words(t, find))
                     rows.append(raw)
                     size.append(len(raw) // kind.itemsize)
                 flat = np.frombuffer(b"".join(rows), kind).astype(np.int32)
