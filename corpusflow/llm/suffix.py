@@ -27,7 +27,7 @@ from corpusflow.llm.common import chunks, integers, merged_runs, mixed, prefix_s
 from corpusflow.llm.superkmer import NO_ID, keyed, range_lists, with_ranges
 
 BUCKET_BYTES = 16 << 20
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 16 << 20
 PIECE = 1 << 20
 PLACE_BITS = 21
 GRAM = 24
@@ -143,7 +143,7 @@ def matched_samples(docs: DataFrame, length: int, reach: int, buckets: int) -> D
                 rows["hit"] = again
                 parts.append(rows)
                 held += len(rows)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield from flush(parts, pack)
                     held = 0
         yield from flush(parts, pack)
