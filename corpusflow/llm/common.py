@@ -114,7 +114,7 @@ def merged_runs(keys: list[np.ndarray], lo: np.ndarray, hi: np.ndarray):
     return [k[at] for k in keys], lo[at], np.maximum.reduceat(hi, at)
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows of a batch in runs of about ``most`` text bytes: from, to, bytes, offsets of the texts.
 
     A longer text is a run of its own; a null text is empty."""
