@@ -44,6 +44,8 @@ class SuffixLevels:
 
     def add(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Index one batch (distinct keys); returns the places, old and new, that a match was found for."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
         order = np.argsort(keys, kind="stable")
         run = keys[order], places[order]
         hits = []
