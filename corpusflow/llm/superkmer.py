@@ -1,6 +1,7 @@
 """Repeated word windows by super-k-mer partitioning.
 
-Every window of ``window`` words has a minimiser, its smallest pair of neighbouring words under a hash.
+Every window of ``window`` words has a minimiser, its smallest run of ``GRAM`` words under a hash; of
+single words or pairs the frequent ones would draw a large share of all windows into one bucket.
 Consecutive windows with the same minimiser travel as one packed string (a super-k-mer) to the bucket of
 the minimiser, so equal windows meet whatever surrounds them. A bucket sorts the windows of its strings
 and marks all but the earliest of each. Equal strings of a map task collapse before the shuffle, so a
@@ -23,6 +24,7 @@ from corpusflow.llm.common import (
 NO_ID = (1 << 63) - 1
 BUCKET_BYTES = 24 << 20
 FLUSH_BYTES = 16 << 20
+GRAM = 3
 META = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("n", "<i4"), ("text", "?")])
 
 
@@ -40,8 +42,9 @@ def super_kmers(buf: np.ndarray, offsets: np.ndarray, window: int):
     if len(starts) < window:
         return none, none, none, none, none, np.zeros(0, np.uint64)
     h = range_hash(prefix_sums(buf), starts, ends)
-    pairs = mixed(h[:-1] * np.uint64(0x9FB21C651E98DF25) + h[1:]) if window > 1 else h
-    low = sliding_min(pairs, max(window - 1, 1))
+    gram = min(GRAM, window)
+    first = np.arange(len(h) - gram + 1)
+    low = sliding_min(range_hash(prefix_sums(h), first, first + gram), window - gram + 1)
     ok = doc[:len(low)] == doc[window - 1:]
     at = np.flatnonzero(ok)
     if not len(at):
