@@ -37,7 +37,8 @@ from corpusflow.session import scratch_path
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
+CACHED_TOKENS = 200_000
 BUCKETS = 256
 
 
@@ -118,7 +119,7 @@ def cut_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     ranks = {r: k for k, r in enumerate(sorted({r for r, _ in v.pieces.values()}))}
     table = spark.createDataFrame([(p, ranks[r]) for p, (r, _) in v.pieces.items() if len(p) > 1], "piece string, rank long")
     n = F.length("word")
-    spans = words.filter(n > 1).select("word", F.explode(F.sequence(F.lit(0), n - 2)).alias("s"))
+    spans = words.select("word", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2))).alias("s"))
     spans = spans.select("word", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("s")))).alias("k"))
     spans = spans.withColumn("sub", F.substring("word", F.col("s") + 1, F.col("k")))
     # the vocabulary has a fixed size; an edge is one number, in the order of rank and place
@@ -198,11 +199,13 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.int64()), pa.array(some, pa.string())], names=["shard", "word"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, held, n = zstandard.ZstdCompressor(level=3), {}, 0
+        squeeze, held, n = zstandard.ZstdCompressor(level=6), {}, 0
 
         def flush():
             cols = [[], [], [], []]
             for shard, (words, ids) in held.items():
+                order = sorted(range(len(words)), key=words.__getitem__)  # like beside like, for the compressor
+                words, ids = [words[k] for k in order], [ids[k] for k in order]
                 raw = [w.encode() for w in words]
                 cols[0].append(shard)
                 cols[1].append(squeeze.compress(b"".join(raw)))
@@ -217,15 +220,16 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
                 w.append(word)
                 i.append(_ids(word, cuts, v))
             n += batch.num_rows
-            if n > 400_000:
+            if n > 200_000:
                 yield flush()
                 n = 0
         if held:
             yield flush()
 
-    parts = 4 * spread(docs)
+    parts = spread(docs)
     pairs = docs.select("text").mapInArrow(report, "shard long, word string").repartition(parts, "word")
-    coded = cut_words(pairs.select("word").distinct(), v)
+    # with the shard in it the distinct words come from the shuffle that the join reads too
+    coded = cut_words(pairs.groupBy("word").agg(F.min("shard").alias("shard")).select("word", "shard"), v)
     back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, sizes binary, ids binary")
     path = scratch_path(spark)
     (back.withColumn("bucket", F.pmod("shard", F.lit(BUCKETS))).repartition(spread(docs), "bucket")
@@ -292,6 +296,8 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                                 if x not in tokens:
                                     tokens[x] = packed(find(MARK + x))
                             raw = b"".join([tokens[x] for x in split])
+                            if len(tokens) > CACHED_TOKENS:
+                                tokens.clear()
                     else:
                         raw = packed(_words(t, find))
                     rows.append(raw)
