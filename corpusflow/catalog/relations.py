@@ -526,14 +526,18 @@ def traffic_metrics(spark, root):
 
 
 @query("a13_provider_metrics", """
-WITH c AS (SELECT user_id::VARCHAR AS provider, ts, event_id, event_type <> 'error' AS ok, value FROM events)
-SELECT provider, count(*) AS total, count_if(ok)::BIGINT AS success, count_if(NOT ok)::BIGINT AS error,
+WITH c AS (SELECT CASE WHEN user_id % 7 <> 0 THEN user_id::VARCHAR END AS provider, ts, event_id, event_type <> 'error' AS ok, value FROM events)
+SELECT provider, CASE WHEN grouping(provider) = 1 THEN 'all' ELSE 'provider' END AS scope,
+  count(*) AS total, count_if(ok)::BIGINT AS success, count_if(NOT ok)::BIGINT AS error,
   coalesce(arg_max(value, (ts, event_id)) FILTER (ok), 0.0::DOUBLE) AS last_latency_ms, max(event_id) AS last_seq FROM c GROUP BY ROLLUP (provider)""")
 def provider_metrics(spark, root):
-    c = calls(spark, root)
+    known = F.when(F.col("provider").cast("bigint") % 7 != 0, F.col("provider"))  # some calls name no provider
+    c = calls(spark, root).withColumn("provider", known)
     m = te.provider_metrics(c).drop("updated_at")
-    last = c.rollup("provider").agg(F.max("seq").alias("last_seq"))
-    return m.join(last, m["provider"].eqNullSafe(last["provider"])).drop(last["provider"])
+    scope = F.when(F.grouping("provider") == 1, "all").otherwise("provider").alias("scope_")
+    last = c.rollup("provider").agg(scope, F.max("seq").alias("last_seq")).withColumnRenamed("provider", "provider_")
+    same = m["provider"].eqNullSafe(last["provider_"]) & (m["scope"] == last["scope_"])
+    return m.join(last, same).drop("provider_", "scope_")
 
 
 STATUS = {"view": "queued", "click": "running", "purchase": "done", "error": "error", "signup": "archived"}
@@ -868,7 +872,7 @@ def head_per_file(spark, root):
 
 
 @query("t06_recent_n", f"""
-WITH {SQL_EVENTS}, t AS (SELECT * FROM ev ORDER BY ts DESC, event_id DESC LIMIT 200) SELECT event_id, k FROM t WHERE k % 5 <> 0""")
+WITH {SQL_EVENTS}, t AS (SELECT * FROM ev ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT event_id, k FROM t WHERE k % 5 <> 0""")
 def recent_n(spark, root):
     e = load(spark, root, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
     return sm.recent_n(e, 500, "ts", "event_id", F.when(F.col("k") % 5 != 0, F.col("k"))).select("event_id", "k")

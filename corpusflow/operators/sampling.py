@@ -80,9 +80,10 @@ def head_per_file(df: DataFrame, n: int, group: list[str], order: str = "row_idx
     return take_first(df, n, [F.col(order)], bucket, group)
 
 
-def recent_n(df: DataFrame, n: int, ts: str, tie: str, parsed: Column | None = None) -> DataFrame:
-    """Last ``n`` log rows, 1 to 200; unreadable ones are dropped after the cut."""
-    n = max(1, min(n, 200))
+def recent_n(df: DataFrame, n: int, ts: str, tie: str, parsed: Column | None = None,
+             most: int | None = None) -> DataFrame:
+    """Last ``n`` log rows, at least 1 and at most ``most``; unreadable ones are dropped after the cut."""
+    n = max(1, n if most is None else min(n, most))
     tail = df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
     return tail if parsed is None else tail.filter(parsed.isNotNull())
 

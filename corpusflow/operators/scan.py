@@ -167,6 +167,8 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
     group = list(group)
     size = F.lit(n) if isinstance(n, int) else n
     bound = n if isinstance(n, int) else most
+    if bound is None and not group:
+        raise ValueError("a column n without a group needs its upper bound ``most``")
     src = df.select("*", bucket.alias("_b"), size.cast("bigint").alias("_n"))
     hist = src.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_q"))
     # one row per bucket and group
@@ -180,7 +182,9 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
         F.max("_b").alias("_cut"), F.max_by(F.col("_q") - F.col("_before"), "_b").alias("_need"))
     near = src.join(cut, group).filter(F.col("_b") <= F.col("_cut"))
     rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy(*order))
-    out = near.withColumn("_r", rank).filter(F.col("_r") <= bound)
+    out = near.withColumn("_r", rank)
+    if bound is not None:
+        out = out.filter(F.col("_r") <= bound)
     inside = (F.col("_b") < F.col("_cut")) | (F.col("_r") <= F.col("_need"))
     return out.filter(inside).select(*df.columns)
 

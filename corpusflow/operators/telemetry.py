@@ -31,11 +31,14 @@ def traffic_metrics(events: DataFrame, intent: str = "intent") -> DataFrame:
 
 
 def provider_metrics(calls: DataFrame) -> DataFrame:
-    """Counts per provider, last latency of a success, and a totals line (``provider`` NULL).
+    """Counts per provider, last latency of a success, and a totals line.
+
+    ``scope`` tells the totals (all) from a provider, NULL included.
 
     ``calls(provider, ts, ok, latency_ms, seq)``."""
     good = F.when(F.col("ok"), F.struct("ts", "seq"))
     return calls.rollup("provider").agg(
+        F.when(F.grouping("provider") == 1, "all").otherwise("provider").alias("scope"),
         F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("success"),
         F.count_if(~F.col("ok")).alias("error"),
         F.coalesce(F.max_by("latency_ms", good), F.lit(0)).alias("last_latency_ms"),
@@ -74,17 +77,21 @@ def expire_jobs(jobs: DataFrame, ttl_seconds: int, now: Column) -> tuple[DataFra
     return marked.filter(~F.col("_stale")).drop("_stale"), marked.filter("_stale").drop("_stale")
 
 
-def task_progress(tasks: DataFrame, events: DataFrame) -> DataFrame:
+def task_progress(tasks: DataFrame, events: DataFrame, most: int | None = 20) -> DataFrame:
     """Progress per task. ``tasks(task_id, steps)``, ``events(task_id, ts, seq, done_step, error,
-    mark_done)``; the latest event decides on an explicit close."""
+    mark_done)``; the latest event decides on an explicit close. Plans of tasks with events count up
+    to ``most`` steps (None: all); a task without events keeps its whole plan."""
     step = F.nullif(strip("done_step"), F.lit(""))
     seen = events.groupBy("task_id").agg(
         F.countDistinct(step).alias("done_count"),
         F.count_if(text_of("error") != "").alias("errors"),
         F.max_by(F.coalesce("mark_done", F.lit(False)), F.struct("ts", "seq")).alias("closed"),
     )
-    planned = F.least(F.lit(20), F.size(F.filter("steps", lambda s: strip(s) != "")))
-    out = tasks.select("task_id", planned.alias("planned")).join(seen, "task_id", "left")
+    steps = F.size(F.filter("steps", lambda s: strip(s) != ""))
+    out = tasks.select("task_id", steps.alias("_steps")).join(seen, "task_id", "left")
+    planned = F.col("_steps") if most is None else F.when(
+        F.col("done_count").isNotNull(), F.least(F.lit(most), F.col("_steps"))).otherwise(F.col("_steps"))
+    out = out.withColumn("planned", planned)
     done = F.coalesce("done_count", F.lit(0))
     errors = F.coalesce("errors", F.lit(0))
     finished = F.coalesce("closed", F.lit(False)) | ((F.col("planned") > 0) & (done >= F.col("planned")))

@@ -56,9 +56,11 @@ def spread_small(df: DataFrame, path: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new folder below the shared one the cluster names; machine-local only where none is set."""
+    """A new folder below the shared one the cluster names. Only a local session may go without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="corpusflow-")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 

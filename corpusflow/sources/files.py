@@ -62,7 +62,9 @@ def with_row_index(df: DataFrame, name: str = "row_idx", start: int = 0) -> Data
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, on_bad: str = "drop") -> DataFrame:
-    """JSON lines; blank, broken and non-object lines are dropped or kept as ``_corrupt_record``."""
+    """JSON lines; blank, broken and non-object lines are dropped or kept as ``_corrupt_record``.
+
+    A field whose value does not fit its type is NULL; the line stays."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     if not exists(spark, path):
@@ -70,15 +72,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, on_ba
     kept = schema.add("_corrupt_record", T.StringType()) if "_corrupt_record" not in schema.names else schema
     lines = spark.read.text(path)
     row = F.from_json(F.trim("value"), kept, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    is_object = F.trim("value").startswith("{")
+    # from_json marks a line with one off-type field like a broken one; the variant parser tells them apart
+    whole = row["_corrupt_record"].isNull() | F.try_parse_json(F.trim("value")).isNotNull()
+    is_object = F.trim("value").startswith("{") & whole
     parsed = lines.filter(strip("value") != "").select(row.alias("r"), is_object.alias("_o"), "value")
     if on_bad == "keep":
-        bad = ~F.col("_o") | F.col("r._corrupt_record").isNotNull()
+        bad = ~F.col("_o")
         return parsed.select(
             *[F.col(f"r.{c}") for c in schema.names if c != "_corrupt_record"],
             F.when(bad, F.col("value")).alias("_corrupt_record"),
         )
-    good = parsed.filter(F.col("_o") & F.col("r._corrupt_record").isNull())
+    good = parsed.filter("_o")
     return good.select(*[F.col(f"r.{c}") for c in schema.names if c != "_corrupt_record"])
 
 
