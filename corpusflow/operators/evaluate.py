@@ -166,6 +166,27 @@ def composite_score() -> Column:
             + F.col("keyword_coverage_mean") * 0.10 + F.col("exact_match_rate") * 0.05)
 
 
+@dataclass(frozen=True)
+class Guard:
+    """A metric that a run may not lose to the best one: by more than ``slack`` (a policy field), in one
+    lane or in all, unless a policy flag waives it."""
+
+    reason: str
+    metric: str
+    slack: str | None = None
+    lane: str | None = None
+    waived_by: str | None = None
+
+
+#: Reasons and their order.
+GUARDS = (
+    Guard("memory_regression", "memory_recall_rate", waived_by="allow_memory_regression"),
+    Guard("score_regression_too_high", "score_mean", "max_score_regression", "global"),
+    Guard("pass_rate_regression_too_high", "pass_rate", "max_pass_rate_regression", "global"),
+    Guard("question_recognition_regression_too_high", "question_recognition_rate", "max_question_regression"),
+)
+
+
 def promotion_history(runs: DataFrame, policy: PromotionPolicy = PromotionPolicy(), lane: str = "lane",
                       at: str = "run_at") -> DataFrame:
     """Decision per evaluation run against the last accepted run of its lane.
@@ -177,29 +198,20 @@ def promotion_history(runs: DataFrame, policy: PromotionPolicy = PromotionPolicy
                       *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in METRICS])
     src = src.withColumn("composite", composite_score())
 
-    def decide(best, row):
-        question = row.question_recognition_rate
-        if question + p.eps < p.min_question_rate:
+    guards = [g for g in GUARDS if not (g.waived_by and getattr(p, g.waived_by))]
+
+    def lost(guard: Guard, best, row) -> bool:
+        slack = getattr(p, guard.slack) if guard.slack else 0.0
+        return guard.lane in (None, row.lane) and getattr(row, guard.metric) + slack + p.eps < getattr(best, guard.metric)
+
+    def decide(best, row) -> str:
+        if row.question_recognition_rate + p.eps < p.min_question_rate:
             return "question_recognition_below_min_threshold"
         if best is None:
             return "first_best"
-        broad = row.lane == "global"
-        gates = [
-            (not p.allow_memory_regression and row.memory_recall_rate + p.eps < best.memory_recall_rate,
-             "memory_regression"),
-            (broad and row.score_mean + p.max_score_regression + p.eps < best.score_mean,
-             "score_regression_too_high"),
-            (broad and row.pass_rate + p.max_pass_rate_regression + p.eps < best.pass_rate,
-             "pass_rate_regression_too_high"),
-            (question + p.max_question_regression + p.eps < best.question_recognition_rate,
-             "question_recognition_regression_too_high"),
-        ]
-        for failed, reason in gates:
-            if failed:
-                return reason
-        if getattr(row, p.primary) > getattr(best, p.primary) + p.min_improvement:
-            return p.primary + "_improved"
-        return "no_significant_improvement"
+        better = getattr(row, p.primary) > getattr(best, p.primary) + p.min_improvement
+        verdict = f"{p.primary}_improved" if better else "no_significant_improvement"
+        return next((g.reason for g in guards if lost(g, best, row)), verdict)
 
     def step(best, row):
         reason = decide(best, row)

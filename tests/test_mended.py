@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpusflow.functions.labels import first_block
 from corpusflow.operators import sampling, telemetry
 from corpusflow.session import scratch_path
 from corpusflow.sources import files
@@ -49,3 +50,9 @@ def test_plans_without_events_are_whole(spark):
 
 def test_scratch_folder_is_new(spark):
     assert scratch_path(spark) != scratch_path(spark)
+
+
+def test_first_block_closes(spark):
+    cases = {"a {b} c": "{b}", "{a{b}}{": "{a{b}}", "}{x": None, "x": None, "{{}": None, "} {é{}é} }": "{é{}é}", "{}": "{}"}
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string").select("t", first_block(F.col("t")).alias("b"))
+    assert {r.t: r.b for r in df.collect()} == {**cases, None: None}
