@@ -22,7 +22,7 @@ HEADLINE = [
 
 def main() -> None:
     from corpusflow.catalog import QUERIES
-    from corpusflow.session import local_session
+    from corpusflow.session import LOAD_PARTITIONS, local_session
 
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -30,6 +30,7 @@ def main() -> None:
     names = list(QUERIES) if asked == "all" else asked.split(",") if asked else HEADLINE
     spark = local_session(cpus, app="corpusflow-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set(LOAD_PARTITIONS, cpus)  # the tables are single row groups
     spark.read.parquet(f"{sf}/documents.parquet").count()
     times: dict[str, float] = {}
     for name in names:

@@ -59,6 +59,22 @@ def doc_rows(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+COPY_STEP = 1_000_000_000
+
+
+def repeated_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Every training row with two copies: padded, half of them with another answer; and owned by source 0."""
+    d = doc_rows(spark, root)
+    padded = F.concat(F.lit("  "), "instruction", F.lit(" "))
+    key = lambda n: (F.col("doc_id") + F.lit(n * COPY_STEP)).cast("bigint")
+    answer = F.when(F.col("doc_id") % 2 == 1, F.concat("response", F.lit(" bis"))).otherwise(F.col("response"))
+    other = d.withColumns({"doc_id": key(1), "row_idx": key(1), "instruction": padded, "response": answer})
+    moved = d.withColumns({"doc_id": key(2), "row_idx": key(2), "instruction": padded,
+                           "source": F.lit("src0"), "src_rank": F.lit(0)})
+    same = d.withColumns({"doc_id": F.col("doc_id").cast("bigint"), "row_idx": F.col("row_idx").cast("bigint")})
+    return same.unionByName(other).unionByName(moved)
+
+
 def pairs(spark: SparkSession, root: str) -> DataFrame:
     return role_pairs(conversations(spark, root))
 
@@ -154,6 +170,12 @@ SQL_DOCS = """docs AS (
          source, lang, CAST(substr(source, 4) AS BIGINT) AS src_rank
   FROM documents)"""
 
+SQL_REPEATED = SQL_DOCS + """, rep AS (
+  SELECT doc_id + copy * 1000000000 AS doc_id, CASE WHEN copy = 0 THEN instruction ELSE '  ' || instruction || ' ' END AS instruction,
+         CASE WHEN copy = 1 AND doc_id % 2 = 1 THEN response || ' bis' ELSE response END AS response,
+         CASE WHEN copy = 2 THEN 'src0' ELSE source END AS source, CASE WHEN copy = 2 THEN 0 ELSE src_rank END AS src_rank
+  FROM docs, (SELECT unnest([0, 1, 2]) AS copy))"""
+
 SQL_PAIRS = f"""pairs AS (
   SELECT conv_id, turn, {strip('text')} AS user_text, {strip('nt')} AS assistant_text
   FROM (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations

@@ -141,11 +141,12 @@ LOW = ["eauouon", "et laouèelleê pa", "than", "the", "thion"]
 
 
 @query("p10_low_signal", f"""
-SELECT doc_id, {inlist("trim(" + norm("string_split(text, chr(10))[1]") + ", ' .,!?:;\"''')", LOW)} AS low
-FROM documents""")
+SELECT doc_id, count(*) AS lines, count_if({inlist("trim(" + norm("line") + ", ' .,!?:;\"''')", LOW)})::BIGINT AS low
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
 def low_signal(spark, root):
-    first = F.substring_index("text", "\n", 1)
-    return documents(spark, root).select("doc_id", tx.low_signal(first, LOW).alias("low"))
+    """Low lines of every document."""
+    lines = documents(spark, root).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(tx.low_signal("line", LOW)).alias("low"))
 
 
 @query("p11_structure_type", f"""

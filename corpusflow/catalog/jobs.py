@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import (
-    SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, chat_events, conversations, doc_rows, documents, has, norm, pairs,
-    query, strip, words,
+    SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, SQL_REPEATED, chat_events, conversations, doc_rows, documents, has,
+    norm, pairs, query, repeated_rows, strip, words,
 )
 from corpusflow.catalog.expressions import (
     FLAG_WORDS, INTENTS, SCORE_WORDS, TAGS, sql_flags, sql_html_text, sql_intent, sql_message_score, sql_tags,
@@ -96,26 +96,26 @@ def zip_files(spark, root):
     return fi.zip_files(*sides)
 
 
-SQL_QA = f"""{SQL_DOCS}, qa AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank = 3),
-dl AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank = 4),
-a AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank = 5),
-b AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank = 6),
+SQL_QA = f"""{SQL_DOCS}, qa AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank % 4 = 3),
+dl AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank % 4 = 0),
+a AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank % 4 = 1),
+b AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM docs WHERE src_rank % 4 = 2),
 found AS (
   SELECT 'dialog_dialogs_' || i AS conversation_id, source AS p, lang AS r, 'dialog_csv:dialogs.csv' AS source_dataset FROM dl
   UNION ALL SELECT 'input_target_input1_' || a.i, a.lang, b.source, 'input_target_csv:input1.csv+target1.csv' FROM a JOIN b USING (i)
-  UNION ALL SELECT 'qa_qa_fr_' || i, instruction, lang, 'qa_csv:qa_fr.csv' FROM qa WHERE length(instruction) <= 300)"""
+  UNION ALL SELECT 'qa_qa_fr_' || i, instruction, lang, 'qa_csv:qa_fr.csv' FROM qa)"""
 
 
 def _pair_folder(spark: SparkSession, root: str) -> str:
-    """A folder with a question table, a dialog table and an input/target twin."""
+    """Every source in one of a question table, a dialog table and an input/target twin."""
     d = doc_rows(spark, root).orderBy("doc_id")
     path = scratch(spark)
     plain = F.translate("instruction", "\"'&()`’“”", "")
-    fi.write_pairs(d.filter("src_rank = 3").select(plain.alias("question"), F.col("lang").alias("answer")), f"{path}/qa_fr.csv", ["question", "answer"])
+    fi.write_pairs(d.filter("src_rank % 4 = 3").select(plain.alias("question"), F.col("lang").alias("answer")), f"{path}/qa_fr.csv", ["question", "answer"])
     dialog = F.concat(F.lit("['"), "source", F.lit("' \""), "lang", F.lit("\"]"))
-    fi.write_pairs(d.filter("src_rank = 4").select(dialog.alias("dialog")), f"{path}/dialogs.csv", ["dialog"])
-    fi.write_pairs(d.filter("src_rank = 5").select("doc_id", F.col("lang").alias("text")), f"{path}/input1.csv", ["doc_id", "text"])
-    fi.write_pairs(d.filter("src_rank = 6").select("doc_id", F.col("source").alias("utterance")), f"{path}/target1.csv", ["doc_id", "utterance"])
+    fi.write_pairs(d.filter("src_rank % 4 = 0").select(dialog.alias("dialog")), f"{path}/dialogs.csv", ["dialog"])
+    fi.write_pairs(d.filter("src_rank % 4 = 1").select("doc_id", F.col("lang").alias("text")), f"{path}/input1.csv", ["doc_id", "text"])
+    fi.write_pairs(d.filter("src_rank % 4 = 2").select("doc_id", F.col("source").alias("utterance")), f"{path}/target1.csv", ["doc_id", "utterance"])
     return path
 
 
@@ -123,7 +123,7 @@ def _pair_folder(spark: SparkSession, root: str) -> str:
 WITH {SQL_QA} SELECT conversation_id, trim(regexp_replace(regexp_replace(translate(p, '"''&()`’“”', ''), '\\s+', ' ', 'g'), '\\s+([,;:.!?])', '\\1', 'g')) AS prompt_en,
   r AS response_en, source_dataset, source_dataset LIKE 'qa%' AS is_pretranslated_fr FROM found""")
 def discover_pair_sources(spark, root):
-    return fi.discover_pair_sources(spark, _pair_folder(spark, root))[0].select(
+    return fi.discover_pair_sources(spark, _pair_folder(spark, root), max_chars=None)[0].select(
         "conversation_id", "prompt_en", "response_en", "source_dataset", "is_pretranslated_fr")
 
 
@@ -183,25 +183,24 @@ def build_pair_corpus(spark, root):
 
 # --- bundle ----------------------------------------------------------------
 BUNDLE_GROUPS = ["core", "ml_deep", "signature", "agent", "memory"]
-CAPS = {"core": 25, "ml_deep": 30, "signature": 20, "agent": 25, "memory": 30}
 SHARES = {"core": 0.4, "ml_deep": 0.2, "signature": 0.2, "agent": 0.1, "memory": 0.1}
 BUNDLE = bn.BundlePolicy(
-    cleaning=TEST_POLICY, feedback=FeedbackPolicy(150, 0.5), caps=CAPS, max_feedback=20, total=90, ratios=SHARES,
+    cleaning=TEST_POLICY, feedback=FeedbackPolicy(150, 0.5), ratios=SHARES,
     strict_domain=True, domain_words=["tion", "er"], dedupe=True, seed=42)
 
 SQL_KEY = f"concat_ws('|', {norm('instruction')}, {norm('response')}, source)"
 SQL_BUNDLE = f"""{SQL_CHAT}, {SQL_DOCS},
 rowsin AS (SELECT doc_id AS o, ['core', 'ml_deep', 'signature', 'agent', 'memory'][src_rank % 5 + 1] AS g, src_rank, {strip('instruction')} AS instruction,
-  {strip('response')} AS response, source, [25, 30, 20, 25, 30][src_rank % 5 + 1] AS cap FROM docs),
+  {strip('response')} AS response, source, [15000, 12000, 15000, 12000, 10000][src_rank % 5 + 1] AS cap FROM docs),
 capped AS (SELECT *, row_number() OVER (PARTITION BY g, source ORDER BY {sql_hash(42, SQL_KEY)}, {SQL_KEY}) AS rc FROM rowsin WHERE instruction <> '' AND response <> ''),
 base AS (SELECT * FROM capped WHERE rc <= cap), {sql_waterfall('instruction', 'response').replace(
     "length(response) < 60", "length(response) < (CASE WHEN g = 'memory' THEN 30 ELSE 60 END)").replace("ORDER BY o)", "ORDER BY src_rank, o)")},
 dom AS (SELECT * FROM uniq WHERE variant = 1 AND (g = 'memory' OR {has("lower(instruction || ' ' || response || '  ' || source)", ['tion', 'er'])})),
-quota AS (SELECT unnest(['core', 'ml_deep', 'signature', 'agent', 'memory']) AS g, unnest([36, 18, 18, 9, 9]) AS n, unnest([0, 1, 2, 3, 4]) AS gi),
+quota AS (SELECT unnest(['core', 'ml_deep', 'signature', 'agent', 'memory']) AS g, unnest([4000, 2000, 2000, 1000, 1000]) AS n, unnest([0, 1, 2, 3, 4]) AS gi),
 picked AS (SELECT d.*, quota.n, gi, row_number() OVER (PARTITION BY d.g ORDER BY {sql_hash(42, SQL_KEY)}, {SQL_KEY}) AS rq FROM dom d JOIN quota ON quota.g = d.g),
 {sql_feedback(150, 0.5).replace('reasoned', 'freasoned').replace('ranked', 'franked').replace('judged', 'fjudged')},
 fb AS (SELECT user_text AS instruction, assistant_text AS response, 'feedback_q' || format('{{:.2f}}', quality) AS source, row_idx FROM franked WHERE copy = 1),
-fbs AS (SELECT * FROM fb ORDER BY {sql_hash(42, SQL_KEY)}, {SQL_KEY} LIMIT 20),
+fbs AS (SELECT * FROM fb ORDER BY {sql_hash(42, SQL_KEY)}, {SQL_KEY} LIMIT 30000),
 allrows AS (SELECT instruction, response, source, g, gi * 1000000 + src_rank AS sr, o FROM picked WHERE rq <= n
   UNION ALL SELECT instruction, response, source, 'feedback', 5000000, row_idx FROM fbs),
 final AS (SELECT *, row_number() OVER (PARTITION BY {norm('instruction')}, {norm('response')} ORDER BY sr, o) AS rf FROM allrows)"""
@@ -235,7 +234,7 @@ def run_report(spark, root):
 
 # --- conversation store ----------------------------------------------------
 CONTINUAL = cn.ContinualPolicy(
-    min_score=0.55, select_min_score=0.6, select_limit=25, style_words=("sich", "avec"),
+    min_score=0.55, select_min_score=0.6, style_words=("sich", "avec"),
     words=StoreWords(flags=FLAG_WORDS, score=SCORE_WORDS, tags=TAGS, intents=INTENTS))
 
 
@@ -258,7 +257,7 @@ c AS (SELECT cid, avg(q) * 0.75::DOUBLE + avg(d) * 0.20::DOUBLE + (1.0::DOUBLE -
 sc AS (SELECT cid, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw)), 9) AS score FROM c),
 hd AS (SELECT cid, max(turn) AS last_turn, arg_max({sql_tags('pv')}, line) AS tags FROM two GROUP BY cid),
 fil AS (SELECT *, score >= 0.55 AS ok FROM sc JOIN hd USING (cid)),
-best AS (SELECT cid FROM fil WHERE ok AND score >= 0.6 ORDER BY score DESC, 't' || last_turn DESC, cid LIMIT 25)"""
+best AS (SELECT cid FROM fil WHERE ok AND score >= 0.6 ORDER BY score DESC, 't' || last_turn DESC, cid LIMIT 5000)"""
 
 
 @query("c03_conversation_status", f"""
@@ -325,16 +324,15 @@ def split_paragraph_chunks(spark, root):
 
 
 # --- curation --------------------------------------------------------------
-SQL_VALID = f"""{SQL_DOCS}, b AS (SELECT doc_id, source AS dataset, src_rank, {norm("split_part(instruction, ' ', 1)")} AS q, {norm("CASE WHEN doc_id % 13 = 0 THEN '' ELSE right(response, 2) END")} AS r FROM docs),
+SQL_VALID = f"""{SQL_REPEATED}, b AS (SELECT doc_id, source AS dataset, src_rank, {norm("instruction")} AS q, {norm("CASE WHEN doc_id % 13 = 0 THEN '' ELSE response END")} AS r FROM rep),
 f AS (SELECT *, first_value(r) OVER w AS r0, row_number() OVER w AS n FROM b WHERE q <> '' AND r <> '' WINDOW w AS (PARTITION BY dataset, q ORDER BY doc_id)),
 o AS (SELECT *, min(src_rank) OVER (PARTITION BY q) AS owner FROM f WHERE n = 1)"""
 
 
 def _series(spark, root):
-    d = doc_rows(spark, root)
-    return d.select(
-        "doc_id", F.col("source").alias("dataset"), "src_rank", "row_idx", F.substring_index("instruction", " ", 1).alias("instruction"),
-        F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.expr("right(response, 2)")).alias("response"))
+    return repeated_rows(spark, root).select(
+        "doc_id", F.col("source").alias("dataset"), "src_rank", "row_idx", "instruction",
+        F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("response")).alias("response"))
 
 
 @query("c07_validate_series", f"WITH {SQL_VALID} SELECT doc_id FROM o WHERE src_rank = owner")
@@ -426,7 +424,7 @@ def padded_templates(spark, root):
 
 
 @query("c08_question_variants", f"""
-WITH b AS (SELECT doc_id, split_part(text, chr(10), 1) AS q FROM documents),
+WITH b AS (SELECT doc_id, text AS q FROM documents),
 x AS (SELECT *, ('0x' || substr(md5('r0|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS a, ('0x' || substr(md5('r1|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS b1,
   ('0x' || substr(md5('join|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS j, ('0x' || substr(md5('lower|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS lo FROM b),
 y AS (SELECT *, CASE WHEN a < 0.25 THEN replace(q, 'the', 'th') ELSE q END AS q1 FROM x), z AS (SELECT *, CASE WHEN b1 < 0.25 THEN replace(q1, 'of', 'o') ELSE q1 END AS q2 FROM y),
@@ -434,7 +432,7 @@ w AS (SELECT *, CASE WHEN j < 0.30 AND length(q2) < 28 THEN replace(q2, ' ', '')
 v AS (SELECT doc_id, trim(regexp_replace(CASE WHEN lo < 0.40 THEN lower(q3) ELSE q3 END, '\\s+', ' ', 'g')) AS instruction FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(instruction), '\\s+', ' ', 'g')) ORDER BY doc_id) AS c FROM v) SELECT doc_id, instruction FROM r WHERE c = 1""")
 def question_variants(spark, root):
-    rows = documents(spark, root).select("doc_id", F.substring_index("text", "\n", 1).alias("q"))
+    rows = documents(spark, root).select("doc_id", F.col("text").alias("q"))
     noisy = rows.withColumn("instruction", tx.collapse(sy.noisy_variant(F.col("q"), F.col("doc_id").cast("string"), [("the", "th"), ("of", "o")])))
     from corpusflow.operators.dedupe import first_wins_dedupe
     return first_wins_dedupe(noisy, [tx.collapse(F.lower("instruction"))], ["doc_id"]).select("doc_id", "instruction")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import (
-    SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, ascii_toks, calls, chat_events, conversations, doc_rows,
-    documents, has, norm, pairs, query, requests, soft, strip, toks, word, words,
+    COPY_STEP, SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, SQL_REPEATED, ascii_toks, calls, chat_events, conversations,
+    doc_rows, documents, has, norm, pairs, query, repeated_rows, requests, soft, strip, toks, word, words,
 )
 from corpusflow.catalog.expressions import (
     FLAG_WORDS, SCORE_WORDS, SLOTS, sql_flags, sql_message_score, sql_quality, sql_slots,
@@ -130,19 +130,18 @@ def domain_allowlist(spark, root):
 
 
 def _passages(spark, root):
-    """Every line of every document, and prompts: benchmark items and some document lines."""
+    """Every line of every document, and prompts: benchmark items, plain and with altered words."""
     d = documents(spark, root)
     lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
     b = load(spark, root, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    own = d.filter("doc_id % 10 = 0").select(
-        (F.col("doc_id") + 100000).alias("prompt_id"),
-        F.regexp_replace(F.substring_index("text", "\n", 1), "(?U)\\bthe\\b", "THE!").alias("prompt"))
+    own = b.select(
+        (F.col("prompt_id") + COPY_STEP).alias("prompt_id"), F.concat(F.upper("prompt"), F.lit("!")).alias("prompt"))
     return b.unionByName(own), lines
 
 
 SQL_PASSAGES = """train AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents),
 prompts AS (SELECT item_id AS prompt_id, text AS prompt FROM benchmark UNION ALL
-  SELECT doc_id + 100000, regexp_replace(string_split(text, chr(10))[1], '\\bthe\\b', 'THE!', 'g') FROM documents WHERE doc_id % 10 = 0)"""
+  SELECT item_id + 1000000000, upper(text) || '!' FROM benchmark)"""
 SQL_EXACT = f"""{SQL_PASSAGES},
 exact AS (SELECT prompt_id FROM prompts WHERE {soft('prompt')} IN (SELECT {soft('text')} FROM train WHERE {strip('text')} <> ''))"""
 
@@ -158,9 +157,19 @@ near AS (SELECT DISTINCT prompt_id FROM ps, ts WHERE (len(p) = 0 AND len(t) = 0)
   AND len(list_intersect(p, t))::DOUBLE / (len(p) + len(t) - len(list_intersect(p, t))) >= 0.70::DOUBLE))"""
 
 
-@query("j05_exact_overlap", f"WITH {SQL_EXACT} SELECT prompt_id FROM exact")
+@query("j05_exact_overlap", f"""
+WITH train AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
+prompts AS (SELECT doc_id * 1000000 + pos AS prompt_id, CASE WHEN doc_id % 2 = 0 THEN '  ' || text || ' !' ELSE text || ' bis' END AS prompt FROM train
+  UNION ALL SELECT -item_id - 1, text FROM benchmark)
+SELECT prompt_id FROM prompts WHERE {soft('prompt')} IN (SELECT {soft('text')} FROM train WHERE {strip('text')} <> '')""")
 def exact_overlap(spark, root):
-    return ov.exact_overlap(*_passages(spark, root)).select("prompt_id")
+    """Benchmark items and every line, repunctuated or with another word, against every line."""
+    d = documents(spark, root)
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    asked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), "text", F.lit(" !"))).otherwise(F.concat("text", F.lit(" bis")))
+    own = lines.select((F.col("doc_id") * 1_000_000 + F.col("pos")).cast("bigint").alias("prompt_id"), asked.alias("prompt"))
+    b = load(spark, root, "benchmark").select((-F.col("item_id") - 1).cast("bigint").alias("prompt_id"), F.col("text").alias("prompt"))
+    return ov.exact_overlap(own.unionByName(b), lines.select("doc_id", "text")).select("prompt_id")
 
 
 @query("j06_jaccard_overlap", f"WITH {SQL_PASSAGES}, {SQL_JACCARD} SELECT prompt_id FROM near")
@@ -177,24 +186,20 @@ def contamination_report(spark, root):
     return ov.contamination_report(*_passages(spark, root), 0.70)
 
 
-SQL_OWN = f"""{SQL_DOCS}, q AS (SELECT *, {norm("split_part(instruction, ' ', 1)")} AS qn FROM docs),
+SQL_OWN = f"""{SQL_REPEATED}, q AS (SELECT *, {norm("instruction")} AS qn FROM rep),
 own AS (SELECT qn, min(src_rank) AS owner FROM q GROUP BY qn)"""
 
 
-def _first_words(spark, root):
-    return doc_rows(spark, root).withColumn("instruction", F.substring_index("instruction", " ", 1))
-
-
 @query("j07_cross_dataset_owner", f"WITH {SQL_OWN} SELECT doc_id FROM q JOIN own USING (qn) WHERE src_rank = owner")
 def cross_dataset_owner(spark, root):
-    return dd.cross_dataset_owner(_first_words(spark, root))[0].select("doc_id")
+    return dd.cross_dataset_owner(repeated_rows(spark, root))[0].select("doc_id")
 
 
 @query("j07_cross_dataset_duplicates", f"""
 WITH {SQL_OWN}, h AS (SELECT DISTINCT qn, src_rank, source FROM q)
 SELECT qn AS question, string_agg(source, ',' ORDER BY src_rank) AS datasets FROM h GROUP BY qn HAVING count(*) > 1""")
 def cross_dataset_duplicates(spark, root):
-    d = dd.cross_dataset_owner(_first_words(spark, root))[1]
+    d = dd.cross_dataset_owner(repeated_rows(spark, root))[1]
     return d.select("question", F.array_join("datasets", ",").alias("datasets"))
 
 
@@ -678,21 +683,20 @@ def continual_from_log(spark, root):
 
 
 @query("a16_dominant_response", f"""
-WITH {SQL_DOCS}, q AS (SELECT doc_id, {norm("split_part(instruction, ' ', 1)")} AS qn, {norm("right(response, 2)")} AS rn FROM docs),
+WITH {SQL_REPEATED}, q AS (SELECT doc_id, {norm("instruction")} AS qn, {norm("response")} AS rn FROM rep),
 v AS (SELECT qn, rn, count(*) AS n, min(doc_id) AS f FROM q GROUP BY ALL),
 b AS (SELECT qn, rn, row_number() OVER (PARTITION BY qn ORDER BY n DESC, f) AS r FROM v)
 SELECT doc_id FROM q JOIN b USING (qn, rn) WHERE r = 1""")
 def dominant_response(spark, root):
-    rows = _first_words(spark, root).withColumn("response", F.expr("right(response, 2)"))
-    return dd.dominant_response(rows, order=["row_idx"]).select("doc_id")
+    return dd.dominant_response(repeated_rows(spark, root), order=["row_idx"]).select("doc_id")
 
 
 @query("a16_dominant_counts", f"""
-WITH {SQL_DOCS}, q AS (SELECT {norm("split_part(instruction, ' ', 1)")} AS qn, {norm("right(response, 2)")} AS rn FROM docs),
+WITH {SQL_REPEATED}, q AS (SELECT {norm("instruction")} AS qn, {norm("response")} AS rn FROM rep),
 v AS (SELECT qn, rn, count(*) AS n FROM q GROUP BY ALL), p AS (SELECT qn, sum(n) AS n, max(n) AS t FROM v GROUP BY qn)
 SELECT sum(t)::BIGINT AS kept, sum(n - t)::BIGINT AS removed FROM p""")
 def dominant_counts(spark, root):
-    return dd.dominant_counts(_first_words(spark, root).withColumn("response", F.expr("right(response, 2)")))
+    return dd.dominant_counts(repeated_rows(spark, root))
 
 
 # --- windows ---------------------------------------------------------------
@@ -703,6 +707,13 @@ def adjacent_pairs(spark, root):
     return pr.adjacent_pairs(conversations(spark, root), max_chars=600)
 
 
+@query("w01_adjacent_pairs_whole", f"""
+WITH n AS (SELECT conv_id, turn AS turn_index, text AS prompt, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response FROM conversations)
+SELECT * FROM n WHERE {strip('prompt')} <> '' AND {strip('response')} <> ''""")
+def adjacent_pairs_whole(spark, root):
+    return pr.adjacent_pairs(conversations(spark, root), max_chars=None)
+
+
 SQL_W2 = f"""u AS (SELECT conv_id, turn, role, {strip('text')} AS text FROM conversations WHERE role IN ('user', 'assistant') AND {strip('text')} <> ''),
 l AS (SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 k AS (SELECT * FROM l WHERE role = 'user' OR pr = 'user'),

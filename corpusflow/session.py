@@ -29,32 +29,27 @@ def local_session(cores: str | int = "*", shuffle: int = 8, app: str = "corpusfl
     )
 
 
+LOAD_PARTITIONS = "corpusflow.load.partitions"
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one table; timestamps without zone become UTC instants."""
+    """Read one table; timestamps without zone become UTC instants.
+
+    Its splits are those of the files, unless ``LOAD_PARTITIONS`` is set: a bench on tables of one row
+    group sets it, so that all cores get rows."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = f"{root}/{name}.parquet"
-    df = spread_small(spark.read.parquet(path), path)
+    df = spark.read.parquet(path)
+    parts = spark.conf.get(LOAD_PARTITIONS, None)
+    if parts:
+        df = df.repartition(int(parts))
     ntz = [c for c, t in df.dtypes if t == "timestamp_ntz"]
     for c in ntz:
         df = df.withColumn(c, F.col(c).cast("timestamp"))
     return df
 
 
-SMALL_TABLE = (512 << 10, 256 << 20)
-
-
-def spread_small(df: DataFrame, path: str) -> DataFrame:
-    """Give every core a share of a small table that is stored as one row group.
-
-    Only between half a megabyte and 256 megabytes on disk; a large table keeps its own splits."""
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(jvm_path).getLength()
-    least, most = SMALL_TABLE
-    return df.repartition(spark.sparkContext.defaultParallelism) if least <= size < most else df
-
-
 def scratch_path(spark: SparkSession) -> str:
     """A new folder below the shared one the cluster names. Only a local session may go without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -176,49 +176,53 @@ def zip_files(a: DataFrame, b: DataFrame, by: str = "row_idx") -> DataFrame:
 
 
 def _pair_rows(df: DataFrame, prompt: Column, response: Column, conv: Column, turn: Column, source: str,
-               pretranslated: bool = False) -> DataFrame:
+               pretranslated: bool = False, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
     rows = df.select(
         conv.alias("conversation_id"), turn.cast("int").alias("turn_index"), prompt.alias("prompt_en"),
         response.alias("response_en"), F.lit(source).alias("source_dataset"),
         F.lit(pretranslated).alias("is_pretranslated_fr"), F.col("row_idx"),
     )
-    return rows.filter(
-        (text_of("prompt_en") != "") & (text_of("response_en") != "")
-        & (F.length("prompt_en") <= MAX_PAIR_CHARS) & (F.length("response_en") <= MAX_PAIR_CHARS)
-    )
+    rows = rows.filter((text_of("prompt_en") != "") & (text_of("response_en") != ""))
+    if max_chars is None:
+        return rows
+    return rows.filter((F.length("prompt_en") <= max_chars) & (F.length("response_en") <= max_chars))
 
 
-def question_answer_pairs(df: DataFrame, name: str) -> DataFrame:
+def question_answer_pairs(df: DataFrame, name: str, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
     stem = file_stem(name)
     conv = F.concat(F.lit(f"qa_{stem}_"), (F.col("row_idx") + 1).cast("string"))
     return _pair_rows(df, clean_text("question"), clean_text("answer"), conv, F.lit(0), f"qa_csv:{name}",
-                      stem.lower().endswith("_fr"))
+                      stem.lower().endswith("_fr"), max_chars)
 
 
-def dialog_pairs(df: DataFrame, name: str) -> DataFrame:
+def dialog_pairs(df: DataFrame, name: str, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
     """Neighbouring turns of the dialog column; blanks are gone before pairing."""
     turns = df.select("row_idx", parse_dialog("dialog").alias("t"))
     at = F.sequence(F.lit(0), F.size("t") - 2)
     steps = turns.filter(F.size("t") >= 2).select("row_idx", "t", F.explode(at).alias("i"))
     conv = F.concat(F.lit(f"dialog_{file_stem(name)}_"), (F.col("row_idx") + 1).cast("string"))
     return _pair_rows(steps, F.get("t", F.col("i")), F.get("t", F.col("i") + 1), conv, F.col("i"),
-                      f"dialog_csv:{name}")
+                      f"dialog_csv:{name}", max_chars=max_chars)
 
 
-def input_target_pairs(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
+def input_target_pairs(a: DataFrame, b: DataFrame, name_a: str, name_b: str,
+                       max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
     def texts(df: DataFrame) -> DataFrame:
         return df.select("row_idx", first_text([c for c in df.columns if c != "row_idx"]).alias("text"))
     both = zip_files(texts(a), texts(b))
     conv = F.concat(F.lit(f"input_target_{file_stem(name_a)}_"), (F.col("row_idx") + 1).cast("string"))
-    return _pair_rows(both, F.col("a_text"), F.col("b_text"), conv, F.lit(0), f"input_target_csv:{name_a}+{name_b}")
+    return _pair_rows(both, F.col("a_text"), F.col("b_text"), conv, F.lit(0), f"input_target_csv:{name_a}+{name_b}",
+                      max_chars=max_chars)
 
 
 def discover_pair_sources(spark: SparkSession, root: str, prefer_native: bool = True,
                           native: str = "synthetic_realistic_qa_fr.csv",
-                          twin: str = "synthetic_realistic_qa.csv") -> tuple[DataFrame | None, DataFrame | None]:
+                          twin: str = "synthetic_realistic_qa.csv", max_chars: int | None = MAX_PAIR_CHARS,
+                          ) -> tuple[DataFrame | None, DataFrame | None]:
     """Every pair table in a folder, routed by its header; sorted names give the precedence.
 
-    Only names and header lines are looked at on the driver."""
+    Pairs with a text over ``max_chars`` characters are left out; None keeps all. Only names and header
+    lines are looked at on the driver."""
     paths = {p.rsplit("/", 1)[-1]: p for p in list_files(spark, root, ".csv")}
     lower = {n.lower() for n in paths}
     used: set[str] = set()
@@ -230,16 +234,16 @@ def discover_pair_sources(spark: SparkSession, root: str, prefer_native: bool =
         if name.lower().startswith("input"):
             target = f"target{file_stem(name)[5:]}.csv"
             if target in paths:
-                df = input_target_pairs(read_pairs_csv(spark, path), read_pairs_csv(spark, paths[target]), name, target)
+                df = input_target_pairs(read_pairs_csv(spark, path), read_pairs_csv(spark, paths[target]), name, target, max_chars)
                 used.add(target)
         if df is None:
             table = read_pairs_csv(spark, path)
             names = {c.strip().lower(): c for c in table.columns}
             if {"question", "answer"} <= names.keys():
                 df = question_answer_pairs(
-                    table.select("row_idx", F.col(names["question"]).alias("question"), F.col(names["answer"]).alias("answer")), name)
+                    table.select("row_idx", F.col(names["question"]).alias("question"), F.col(names["answer"]).alias("answer")), name, max_chars)
             elif "dialog" in names:
-                df = dialog_pairs(table.select("row_idx", F.col(names["dialog"]).alias("dialog")), name)
+                df = dialog_pairs(table.select("row_idx", F.col(names["dialog"]).alias("dialog")), name, max_chars)
         if df is not None:
             parts.append(df.withColumn("src_rank", F.lit(len(parts) + 1)))
     if not parts:
