@@ -7,17 +7,21 @@ table, the edges are grouped by word, and a higher-order ``aggregate`` folds the
 
 The public model is of the merging kind: its scores are ranks of merges, and the path with the best sum is
 not the encoding that the model defines. So the fold replays the merges instead of Viterbi's recursion:
-the state is the set of cuts of the word as bits, and each step takes the best-ranked, then leftmost, edge
-whose ends are cuts with one cut between.
+the state is the set of cuts of the word as bits; the edges come by rank, then from the left, and each one
+whose ends are cuts with one cut between removes that cut. One pass is enough where every piece falls into
+two parts by merges of better rank: between two cuts that stay, those merges do the same as in the piece
+alone, so an edge can be taken when its rank comes up or never. ``late_pieces`` finds the exceptions of a
+vocabulary; words that hold one of them are merged where they are met.
 
 Texts never move. A task reports the distinct words of each shard of its texts; the encoded words go back
 as one dictionary per shard in the shared folder, where the second pass over the texts looks them up. Words
-beyond ``LONGEST`` characters, and words of a shard that was dealt otherwise the second time, are merged
+beyond ``LONGEST`` characters or with a late piece, and words of a shard that was dealt otherwise the second time, are merged
 where they are met, with the same result."""
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,8 +78,8 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
     return Vocabulary(pieces, byte0, f"{MARK}*[{chars}]+|{MARK}+|.", raw)
 
 
-def merge(word: str, v: Vocabulary) -> list[int]:
-    """Ids of one word: neighbours merge by rank, then from the left, while a piece joins them."""
+def _parts(word: str, v: Vocabulary, below: float = math.inf) -> list[str]:
+    """Neighbours merge by rank, then from the left, while a piece of a rank ``below`` joins them."""
     n = len(word)
     left, right = list(range(-1, n - 1)), list(range(1, n + 1))
     text: list[str | None] = list(word)
@@ -90,7 +94,9 @@ def merge(word: str, v: Vocabulary) -> list[int]:
     for k in range(n - 1):
         offer(k, k + 1)
     while heap:
-        _, a, b, made = heapq.heappop(heap)
+        rank, a, b, made = heapq.heappop(heap)
+        if rank >= below:
+            break
         if text[a] is None or text[b] is None or right[a] != b or text[a] + text[b] != made:
             continue
         text[a], text[b] = made, None
@@ -99,21 +105,38 @@ def merge(word: str, v: Vocabulary) -> list[int]:
             left[right[b]] = a
         offer(left[a], a)
         offer(a, right[a])
+    return [t for t in text if t is not None]
+
+
+def _spell(parts: list[str], v: Vocabulary) -> list[int]:
     out = []
-    for t in text:
-        if t is not None:
-            found = v.pieces.get(t)
-            out += [found[1]] if found else [v.byte0 + x for x in t.encode("utf-8", "replace")]
+    for t in parts:
+        found = v.pieces.get(t)
+        out += [found[1]] if found else [v.byte0 + x for x in t.encode("utf-8", "replace")]
     return out
 
 
+def merge(word: str, v: Vocabulary) -> list[int]:
+    """Ids of one word."""
+    return _spell(_parts(word, v), v)
+
+
+def late_pieces(v: Vocabulary) -> list[str]:
+    """The shortest pieces that merges of better rank leave in other than two parts."""
+    late: list[str] = []
+    for p in sorted(v.pieces, key=len):
+        if len(p) > 1 and not any(x in p for x in late) and len(_parts(p, v, v.pieces[p][0])) != 2:
+            late.append(p)
+    return late
+
+
 def _bit(value: int, by) -> F.Column:
     return F.call_function("shiftleft", F.lit(value).cast("long"), by)
 
 
 def cut_words(words: DataFrame, v: Vocabulary) -> DataFrame:
     """word and ``cuts``, the ends of its pieces as bits; ``words`` has distinct words of at most LONGEST
-    characters, dealt by word. A word in which no two characters join has no row."""
+    characters without a late piece, dealt by word. A word in which no two characters join has no row."""
     spark = words.sparkSession
     longest = max(map(len, v.pieces))
     ranks = {r: k for k, r in enumerate(sorted({r for r, _ in v.pieces.values()}))}
@@ -131,17 +154,12 @@ def cut_words(words: DataFrame, v: Vocabulary) -> DataFrame:
         a, b = F.call_function("shiftright", x, F.lit(8)).bitwiseAND(255).cast("int"), x.bitwiseAND(255).cast("int")
         return F.struct((_bit(1, a) + _bit(1, b)).alias("ends"), (_bit(1, b) - _bit(2, a)).alias("inner"))
 
-    def best(state):
-        mask = state["mask"]
-        return F.aggregate(state["edges"], F.lit(0).cast("long"), lambda found, x: F.when(found != 0, found).when(
-            (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1), x["inner"]).otherwise(found))
+    def taken(mask, x):
+        fits = (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inner"])) == 1)
+        return F.when(fits, mask.bitwiseAND(F.bitwise_not(x["inner"]))).otherwise(mask)
 
-    # the edges are part of the state, so that they are unpacked once
-    start = F.struct((_bit(2, F.length("word")) - 1).alias("mask"), F.transform("edges", bits).alias("edges"))
-    return grouped.select("word", F.aggregate(
-        F.sequence(F.lit(2), F.length("word")), start,
-        lambda state, _: F.struct(state["mask"].bitwiseAND(F.bitwise_not(best(state))).alias("mask"), state["edges"].alias("edges")),
-        lambda state: state["mask"]).alias("cuts"))
+    every = _bit(2, F.length("word")) - 1
+    return grouped.select("word", F.aggregate(F.transform("edges", bits), every, taken).alias("cuts"))
 
 
 def _shift(name: str, by: int) -> F.Column:
@@ -150,13 +168,8 @@ def _shift(name: str, by: int) -> F.Column:
 
 def _ids(word: str, cuts: int | None, v: Vocabulary) -> list[int]:
     """Ids of the pieces between the cuts; without cuts every character stands alone."""
-    out, a = [], 0
-    for b in range(1, len(word) + 1):
-        if cuts is None or cuts >> b & 1:
-            found = v.pieces.get(word[a:b])
-            out += [found[1]] if found else [v.byte0 + x for x in word[a:b].encode("utf-8", "replace")]
-            a = b
-    return out
+    ends = [b for b in range(1, len(word) + 1) if cuts is None or cuts >> b & 1]
+    return _spell([word[a:b] for a, b in zip([0, *ends], ends)], v)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list]]:
@@ -179,7 +192,7 @@ def _words(text: str, find) -> list[str]:
 def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
     """Encode the distinct words of ``docs``; returns the folder with one dictionary per shard."""
     spark = docs.sparkSession
-    pattern = v.pattern
+    pattern, late = v.pattern, late_pieces(v)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pattern, re.S).findall
@@ -193,7 +206,7 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
                     seen.update(_words(t, find))
             for token in tokens:
                 seen.update(find(MARK + token))
-            own = [w for w in seen if len(w) <= LONGEST]
+            own = [w for w in seen if len(w) <= LONGEST and not any(x in w for x in late)]
             for lo in range(0, len(own), 50_000):
                 some = own[lo:lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.int64()), pa.array(some, pa.string())], names=["shard", "word"])
