@@ -13,7 +13,7 @@ two parts by merges of better rank: between two cuts that stay, those merges do
 alone, so an edge can be taken when its rank comes up or never. ``late_pieces`` finds the exceptions of a
 vocabulary; words that hold one of them are merged where they are met.
 
-Texts never move. A task reports the distinct words of each shard of its texts; the encoded words go back
+Texts never move. A task reports the distinct words of each shard of its texts; the cuts of the words go back
 as one dictionary per shard in the shared folder, where the second pass over the texts looks them up. Words
 beyond ``LONGEST`` characters or with a late piece, and words of a shard that was dealt otherwise the second time, are merged
 where they are met, with the same result."""
@@ -23,6 +23,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -215,23 +216,19 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
         squeeze, held, n = zstandard.ZstdCompressor(level=6), {}, 0
 
         def flush():
-            cols = [[], [], [], []]
-            for shard, (words, ids) in held.items():
-                order = sorted(range(len(words)), key=words.__getitem__)  # like beside like, for the compressor
-                words, ids = [words[k] for k in order], [ids[k] for k in order]
-                raw = [w.encode() for w in words]
-                cols[0].append(shard)
-                cols[1].append(squeeze.compress(b"".join(raw)))
-                cols[2].append(squeeze.compress(np.array([[len(r) for r in raw], [len(i) for i in ids]], np.uint8).tobytes()))
-                cols[3].append(squeeze.compress(np.array([x for i in ids for x in i], "<u2" if len(v.raw) <= 1 << 16 else "<u4").tobytes()))
+            shards, texts, masks = [], [], []
+            for shard, found in held.items():
+                found.sort()  # like beside like, for the compressor
+                shards.append(shard)
+                texts.append(squeeze.compress(" ".join([w for w, _ in found]).encode()))  # no word holds a blank
+                planes = np.array([c for _, c in found], "<i8").view(np.uint8).reshape(-1, 8).T
+                masks.append(squeeze.compress(planes.tobytes()))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["shard", "words", "sizes", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(texts, pa.binary()), pa.array(masks, pa.binary())], names=["shard", "words", "cuts"])
 
         for batch in batches:
             for shard, word, cuts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                w, i = held.setdefault(shard, ([], []))
-                w.append(word)
-                i.append(_ids(word, cuts, v))
+                held.setdefault(shard, []).append((word, cuts or 0))
             n += batch.num_rows
             if n > 200_000:
                 yield flush()
@@ -240,36 +237,33 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
             yield flush()
 
     parts = spread(docs)
-    pairs = docs.select("text").mapInArrow(report, "shard long, word string").repartition(parts, "word")
-    # with the shard in it the distinct words come from the shuffle that the join reads too
+    pairs = docs.select("text").mapInArrow(report, "shard long, word string")
+    # the join asks for words that aren't null on one side; asked on both, both read one shuffle
+    pairs = pairs.filter(F.col("word").isNotNull()).repartition(parts, "word")
     coded = cut_words(pairs.groupBy("word").agg(F.min("shard").alias("shard")).select("word", "shard"), v)
-    back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, sizes binary, ids binary")
+    back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, cuts binary")
     path = scratch_path(spark)
     (back.withColumn("bucket", F.pmod("shard", F.lit(BUCKETS))).repartition(spread(docs), "bucket")
      .write.partitionBy("bucket").parquet(path))
     return path
 
 
-def _dictionary(path: str, shard: int, wide: int) -> dict[str, bytes]:
-    """Word to packed ids of one shard, as far as it was written."""
+def _dictionary(path: str, shard: int) -> dict[str, int]:
+    """Word to its cuts for one shard, as far as it was written; 0 where every character stands alone."""
     from pyarrow.fs import FileSelector
 
     files, root = _store(path)
-    out: dict[str, bytes] = {}
+    out: dict[str, int] = {}
     unpack = zstandard.ZstdDecompressor()
     for info in files.get_file_info(FileSelector(f"{root}/bucket={shard % BUCKETS}", allow_not_found=True)):
         if not info.path.endswith(".parquet"):
             continue
         with files.open_input_file(info.path) as f:
             table = pq.read_table(f, filters=[("shard", "=", shard)])
-        for words, sizes, ids in zip(*(table.column(c).to_pylist() for c in ("words", "sizes", "ids"))):
-            size = np.frombuffer(unpack.decompress(sizes), np.uint8).reshape(2, -1).astype(np.int64)
-            a, b = np.cumsum(size[0]).tolist(), (np.cumsum(size[1]) * wide).tolist()
-            raw, packed = unpack.decompress(words), unpack.decompress(ids)
-            x = y = 0
-            for i, j in zip(a, b):
-                out[raw[x:i].decode()] = packed[y:j]
-                x, y = i, j
+        for words, cuts in zip(table.column("words").to_pylist(), table.column("cuts").to_pylist()):
+            planes = np.frombuffer(unpack.decompress(cuts), np.uint8).reshape(8, -1)
+            masks = np.ascontiguousarray(planes.T).view("<i8").ravel().tolist()
+            out.update(zip(unpack.decompress(words).decode().split(" "), masks))
     return out
 
 
@@ -281,17 +275,22 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     folder = write_dictionaries(docs, v)
     shared = docs.sparkSession.sparkContext.broadcast(v)  # a vocabulary of fixed size
-    kind = np.dtype("<u2" if len(v.raw) <= 1 << 16 else "<u4")
+    code = "H" if len(v.raw) <= 1 << 16 else "I"
+    kind = np.dtype(code)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         find = re.compile(vocabulary.pattern, re.S).findall
         for part, shard, texts in _shards(batches):
-            known = _dictionary(folder, shard, kind.itemsize)
+            cuts = _dictionary(folder, shard)
+            known: dict[str, bytes] = {}
+
             def packed(words: list[str]) -> bytes:
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(merge(w, vocabulary), kind).tobytes()
+                        mask = cuts.pop(w, None)
+                        ids = merge(w, vocabulary) if mask is None else _ids(w, mask or None, vocabulary)
+                        known[w] = array(code, ids).tobytes()
                 return b"".join([known[w] for w in words])
 
             tokens: dict[str, bytes] = {}
