@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import chunks, spread
@@ -135,16 +135,16 @@ def _bit(value: int, by) -> F.Column:
     return F.call_function("shiftleft", F.lit(value).cast("long"), by)
 
 
-def cut_words(words: DataFrame, v: Vocabulary) -> DataFrame:
+def cut_words(words: DataFrame, v: Vocabulary, n: Column | None = None) -> DataFrame:
     """word and ``cuts``, the ends of its pieces as bits; ``words`` has distinct words of at most LONGEST
-    characters without a late piece, dealt by word. A word in which no two characters join has no row."""
+    characters without a late piece, dealt by word, and ``n`` is their length where it is known. A word in which no two characters join has no row."""
     spark = words.sparkSession
     longest = max(map(len, v.pieces))
     ranks = {r: k for k, r in enumerate(sorted({r for r, _ in v.pieces.values()}))}
     table = spark.createDataFrame([(p, ranks[r]) for p, (r, _) in v.pieces.items() if len(p) > 1], "piece string, rank long")
-    n = F.length("word")
-    spans = words.select("word", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2))).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("s")))).alias("k"))
+    n = F.length("word") if n is None else n
+    spans = words.select("word", n.alias("n"), F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2))).alias("s"))
+    spans = spans.select("word", "s", F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("k"))
     spans = spans.withColumn("sub", F.substring("word", F.col("s") + 1, F.col("k")))
     # the vocabulary has a fixed size; an edge is one number, in the order of rank and place
     edges = spans.join(F.broadcast(table), spans["sub"] == table["piece"]).select(
@@ -240,7 +240,9 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
     pairs = docs.select("text").mapInArrow(report, "shard long, word string")
     # the join asks for words that aren't null on one side; asked on both, both read one shuffle
     pairs = pairs.filter(F.col("word").isNotNull()).repartition(parts, "word")
-    coded = cut_words(pairs.groupBy("word").agg(F.min("shard").alias("shard")).select("word", "shard"), v)
+    # the length is an aggregate that needs the shard, so nothing is filtered or pruned below that shuffle
+    words = pairs.groupBy("word").agg(F.max(F.when(F.col("shard").isNotNull(), F.length("word"))).alias("n"))
+    coded = cut_words(words, v, F.col("n"))
     back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, cuts binary")
     path = scratch_path(spark)
     (back.withColumn("bucket", F.pmod("shard", F.lit(BUCKETS))).repartition(spread(docs), "bucket")
