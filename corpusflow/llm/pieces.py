@@ -43,7 +43,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
 SHARD_BYTES = 12 << 20
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 100_000
 BUCKETS = 256
 
 
@@ -284,14 +284,13 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
         vocabulary = shared.value
         find = re.compile(vocabulary.pattern, re.S).findall
         for part, shard, texts in _shards(batches):
-            cuts = _dictionary(folder, shard)
-            known: dict[str, bytes] = {}
+            known: dict[str, int | bytes] = _dictionary(folder, shard)  # cuts, until a word is met
 
             def packed(words: list[str]) -> bytes:
                 for w in words:
-                    if w not in known:
-                        mask = cuts.pop(w, None)
-                        ids = merge(w, vocabulary) if mask is None else _ids(w, mask or None, vocabulary)
+                    have = known.get(w)
+                    if type(have) is not bytes:
+                        ids = merge(w, vocabulary) if have is None else _ids(w, have or None, vocabulary)
                         known[w] = array(code, ids).tobytes()
                 return b"".join([known[w] for w in words])
 
