@@ -5,11 +5,15 @@ one at most, so the Manhattan distance of two embeddings never exceeds the Hammi
 segments are cut into ``blocks``; if the whole distance is at most ``most``, it is at most
 ``most // blocks`` in one block. So every distinct fingerprint lies in one grid cell per block and
 looks into the cells within that range; what meets in a cell is filtered by the distance over all
-segments and verified on the fingerprints. A cell returns a spanning set of its links, never its pairs."""
+segments and verified on the fingerprints. A cell returns a spanning set of its links, never its pairs.
+
+The pipeline's rule is a similarity of shingle sets, which no narrow radius of fingerprints covers: its stage
+(``keep_one``) joins texts on the shingles that similar texts must share and verifies the sets."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -18,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import chunks, join_words, spread, word_bounds
+from corpusflow.llm.common import chunks, join_words, mixed, prefix_sums, range_hash, spread, word_bounds
 from corpusflow.session import settle
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -210,11 +214,184 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4, segments: in
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, most: int = 4) -> DataFrame:
+def _sets(buf: np.ndarray, offsets: np.ndarray, words: int):
+    """The distinct shingles of every text as 64-bit hashes, sorted within a text: hashes, text of each, their
+    number and a 64-bit digest per text. A text of fewer words is one shingle; one without words has none."""
+    starts, ends, doc = word_bounds(buf, offsets)
+    n_docs = len(offsets) - 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n_docs, np.int64), np.zeros(n_docs, np.uint64)
+    joined, at = join_words(buf, starts, ends)
+    count = np.bincount(doc, minlength=n_docs)
+    first = np.concatenate(([0], np.cumsum(count)[:-1]))
+    shingles = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    of = np.repeat(np.arange(n_docs), shingles)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + first[of]
+    last = np.minimum(i + words, first[of] + count[of]) - 1
+    h = range_hash(prefix_sums(_LOWER[joined]), at[i], at[last + 1] - 1)
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[new], of[new]
+    n = np.bincount(of, minlength=n_docs)
+    digest = np.zeros(n_docs, np.uint64)
+    digest[n > 0] = np.add.reduceat(mixed(h), np.flatnonzero(np.diff(of, prepend=-1)))
+    return h, of, n, mixed(digest ^ n.astype(np.uint64))
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _frequent(docs: DataFrame, words: int, most: int = 500_000) -> np.ndarray:
+    """Shingles that many documents hold, by a sixteenth of the documents. They only set an order: any set is right."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in chunks(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(_sets(buf, offsets, words)[0].view(np.int64))], names=["h"])
+
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).select("text")
+    seen = settle(part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2"))
+    left, least = most, 1 << 62
+    for r in seen.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("of")).orderBy(F.desc("n")).collect():
+        left -= r["of"]
+        if left < 0:
+            break
+        least = r["n"]
+    found = seen.filter(F.col("n") >= least).select("h").toArrow().column("h").to_numpy().view(np.uint64)
+    return np.sort(found)
+
+
+def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """Columns of ``docs`` but the text, and digest ``sig``, number ``n`` and ``keys`` of its shingles.
+
+    In an order that all texts share, two texts of similarity p / q have a shingle in common among the first
+    n - ceil(n * p / q) + 1 of each. These are the keys; frequent shingles come last in the order."""
+    frequent = _frequent(docs, words)
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.select(others)
+            for lo, hi, buf, offsets in chunks(batch, "text", 1 << 20):
+                h, of, n, sig = _sets(buf, offsets, words)
+                late = np.zeros(len(h), bool)
+                if len(frequent):
+                    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+                h = h[np.lexsort((h, late, of))]
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                length = np.where(n > 0, n - -(-n * p // q) + 1, 0)
+                yield pa.RecordBatch.from_arrays(
+                    [*rest.slice(lo, hi - lo).columns, pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)),
+                     _lists(h[pos < length[of]], length)], names=[*others, "sig", "n", "keys"])
+
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
+    return docs.select(*others, "text").mapInArrow(run, f"{schema}, sig long, n int, keys array<long>")
+
+
+#: Texts of one key up to which all pairs are candidates at once.
+SMALL = 64
+
+
+def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
+    """Candidates (a, b) of the keys of a bucket: same key, and neither sizes nor places rule the similarity out.
+
+    A key of many texts yields few pairs at first and its own name as (key, null). Later it yields all pairs
+    whose ends lie in different components (``root``)."""
+    get = lambda c: table.column(c).to_numpy()
+    h, n, pos, sig = get("h"), get("n").astype(np.int64), get("pos").astype(np.int64), get("sig")
+    root = get("root") if later else sig
+    order = np.lexsort((sig, n, h))
+    h, n, pos, sig, root = h[order], n[order], pos[order], sig[order], root[order]
+    cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    size = np.diff(np.append(cut, len(h)))
+    many = np.repeat(size > small, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        fits = ((p + q) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= p * (n[i] + n[j])) & (root[i] != root[j])
+        i, j = i[fits], j[fits]
+        left.append(np.minimum(sig[i], sig[j]))
+        right.append(np.maximum(sig[i], sig[j]))
+
+    if later:
+        for lo, m in zip(cut.tolist(), size.tolist()):
+            roots, of = np.unique(root[lo:lo + m], return_inverse=True)
+            most = np.bincount(of, minlength=len(roots)).argmax()
+            for i in (lo + np.flatnonzero(of != most)).tolist():
+                # a pair outside the largest component is seen from its first end only
+                other = np.arange(lo, lo + m)
+                other = other[(of == most) | (other > i)]
+                add(np.full(len(other), i), other)
+    else:
+        i = np.flatnonzero(np.repeat(size > 1, size))
+        for step in range(1, small):
+            i = i[i + step < len(h)]
+            i = i[(h[i] == h[i + step]) & (~many[i] | (step < 4))]
+            if not len(i):
+                break
+            add(i, i + step)
+        for lo, m in zip(cut[size > small].tolist(), size[size > small].tolist()):
+            hub = int(mixed(sig[lo:lo + m].view(np.uint64) ^ h[lo:lo + 1].view(np.uint64)).argmin()) + lo
+            add(np.full(m, hub), np.arange(lo, lo + m))
+    names = h[cut[size > small]] if not later else np.zeros(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    return pa.table({"a": pa.array(np.concatenate((a, names))),
+                     "b": pa.array(np.concatenate((b, names)), mask=np.arange(len(a) + len(names)) >= len(a))})
+
+
+def similar(docs: DataFrame, distinct: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(node, root): components of the digests ``sig`` over all pairs of similarity p / q or more."""
+    rows = distinct.select("sig", "n", F.posexplode("keys").alias("pos", "h"))
+    small = SMALL
+    buckets = F.pmod(F.xxhash64("h"), F.lit(16 * spread(docs))).alias("bucket")
+
+    def candidates(rows: DataFrame, later: bool) -> DataFrame:
+        return settle(rows.withColumn("bucket", buckets).groupBy("bucket")
+                      .applyInArrow(lambda t: _meet(t, p, q, small, later), "a long, b long").distinct())
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, offsets in chunks(batch, "text", 1 << 20):
+                h, _, n, sig = _sets(buf, offsets, words)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), _lists(h, n)], names=["sig", "held"])
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        ids = settle(distinct.select("sig", F.col("low").alias("doc_id")).join(ends, "sig", "left_semi"))
+        texts = docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+        held = settle(texts.mapInArrow(sets, "sig long, held array<long>").join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+        both = (pairs.join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
+                .join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b"))
+        common = F.size(F.array_intersect("x", "y"))
+        return settle(both.filter(common * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b"))
+
+    found = candidates(rows, False)
+    edges = linked(found.filter("b IS NOT NULL"))
+    roots = components(edges)
+    large = found.filter("b IS NULL").select(F.col("a").alias("h")).distinct()
+    if large.isEmpty():
+        return roots
+    open_ = (rows.join(large, "h", "left_semi").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+             .withColumn("root", F.coalesce("root", "sig")))
+    return components(edges.unionByName(linked(candidates(open_, True))))
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
     """The documents that have the smallest doc_id of their component; all columns of ``docs`` stay.
 
-    Rows without a doc_id take no part and stay. Of rows that share a doc_id one is left."""
-    found = near_duplicates(docs.filter("doc_id is not null"), words, most)
+    Texts are linked whose sets of shingles have a Jaccard similarity of ``least`` or more; texts without words
+    are alike. Rows without a doc_id take no part and stay. Of rows that share a doc_id one is left."""
+    p, q = Fraction(least).as_integer_ratio()
+    part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = settle(shingle_keys(part, words, p, q))
+    distinct = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    of = settle(distinct.select("sig", "low").join(similar(part, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
+                .select("sig", "low", F.coalesce("root", "sig").alias("root")))
+    first = of.groupBy("root").agg(F.min("low").alias("component_id"))
+    label = of.select("sig", "root").join(first, "root").select("sig", "component_id")
+    found = rows.select("doc_id", "sig").join(label, "sig")
     keep = settle(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
     kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     if not keep.filter("_rows > 1").isEmpty():

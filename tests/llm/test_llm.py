@@ -281,6 +281,47 @@ def test_simhash_links(spark, segments, blocks):
     assert {x: root.get(x, x) for x in want} == want
 
 
+def plain_shingles(t, words=5):
+    return set(zip(*[t.split()[k:] for k in range(words)]))
+
+
+def plain_jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def plain_kept(texts, least=0.8):
+    held = [plain_shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if plain_jaccard(held[a], held[b]) >= least]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return {k for k, r in enumerate(root) if k == r}
+
+
+def test_keep_one_similarity(spark, monkeypatch):
+    """Pairs of any similarity from 0.6 on; then many copies of one text, whose keys hold more texts than SMALL."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, likes = [], []
+    for k in range(40):
+        base = words(104)
+        near = base[:]
+        for at in range(k % 5 + 1):
+            near[10 + 20 * at] = "other"
+        texts += [" ".join(base), " ".join(near)]
+        likes.append(plain_jaccard(*map(plain_shingles, texts[-2:])))
+    assert sum(0.8 <= x < 0.9 for x in likes) >= 8 and sum(x < 0.8 for x in likes) >= 8
+    got = simhash.keep_one(make(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert {r.doc_id for r in got.collect()} == plain_kept(texts)
+
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    base = words(60)
+    texts = [" ".join(w if rng.random() > 0.02 else f"v{rng.randrange(10**6)}" for w in base) for _ in range(50)]
+    got = simhash.keep_one(make(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert {r.doc_id for r in got.collect()} == plain_kept(texts)
+
+
 def test_pieces(docs, empty, spark):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
