@@ -359,7 +359,7 @@ def similar(docs: DataFrame, distinct: DataFrame, words: int, p: int, q: int) ->
 
     def linked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        ids = settle(distinct.select("sig", F.col("low").alias("doc_id")).join(ends, "sig", "left_semi"))
+        ids = settle(distinct.select("sig", F.col("low.doc_id").alias("doc_id")).join(ends, "sig", "left_semi"))
         texts = docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("text")
         held = settle(texts.mapInArrow(sets, "sig long, held array<long>").join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
         both = (pairs.join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
@@ -379,21 +379,22 @@ def similar(docs: DataFrame, distinct: DataFrame, words: int, p: int, q: int) ->
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
-    """The documents that have the smallest doc_id of their component; all columns of ``docs`` stay.
+    """The documents that come first in their component, by doc_id and a hash of the row; all columns of ``docs`` stay.
 
     Texts are linked whose sets of shingles have a Jaccard similarity of ``least`` or more; texts without words
-    are alike. Rows without a doc_id take no part and stay. Of rows that share a doc_id one is left."""
+    are alike. Rows without a doc_id take no part and stay. Rows that share a doc_id collapse only if they are
+    equal or linked."""
     p, q = Fraction(least).as_integer_ratio()
-    part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = settle(shingle_keys(part, words, p, q))
-    distinct = settle(rows.groupBy("sig").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    whole = F.xxhash64(*docs.columns)
+    part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"), "text")
+    rows = settle(shingle_keys(part, words, p, q)).withColumn("id", F.struct("doc_id", "_row"))
+    distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     of = settle(distinct.select("sig", "low").join(similar(part, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
                 .select("sig", "low", F.coalesce("root", "sig").alias("root")))
-    first = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    label = of.select("sig", "root").join(first, "root").select("sig", "component_id")
-    found = rows.select("doc_id", "sig").join(label, "sig")
-    keep = settle(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    keep = settle(rows.groupBy("id").agg(F.count("*").alias("_rows"))
+                  .join(of.groupBy("root").agg(F.min("low").alias("id")).select("id"), "id", "left_semi")
+                  .select("id.doc_id", "id._row", "_rows"))
+    kept = docs.withColumn("_row", whole).join(keep.select("doc_id", "_row").hint("shuffle_hash"), ["doc_id", "_row"], "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+        kept = kept.dropDuplicates(["doc_id", "_row"])
+    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

@@ -322,6 +322,15 @@ def test_keep_one_similarity(spark, monkeypatch):
     assert {r.doc_id for r in got.collect()} == plain_kept(texts)
 
 
+def test_keep_one_shared_ids(spark):
+    """Different texts that share a doc_id both stay; a near copy goes although its doc_id is kept elsewhere."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(80)) for c in "xyz")
+    near = "other " + one
+    rows = [(1, one, "s"), (5, two, "s"), (5, three, "s"), (5, near, "s"), (6, two, "s"), (7, "own", "s"), (7, "own", "s")]
+    got = simhash.keep_one(make(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted([(1, one), (5, two), (5, three), (7, "own")])
+
+
 def test_pieces(docs, empty, spark):
     import sentencepiece
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
