@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import imatch, mixing, pieces, pii, simhash, suffix, superkmer, toxicity, vafile, warc
+from corpusflow.llm import align, fertility, imatch, mixing, pieces, pii, simhash, suffix, superkmer, toxicity, vafile, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,24 @@ def op10_vafile(spark: SparkSession, root: str) -> DataFrame:
     return vafile.top_k(_table(spark, root, "embeddings"))
 
 
+@query
+def op11_align(spark: SparkSession, root: str) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies in every document."""
+    return align.align(_table(spark, root, "documents"))
+
+
+@query
+def op12_fertility(spark: SparkSession, root: str) -> DataFrame:
+    """Counts, token measures and verdict of every document."""
+    return fertility.judge(_table(spark, root, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, root: str) -> DataFrame:
+    """Every vector along its leading components. A squared deviation beyond 64 bits is null here."""
+    return whiten.whiten(_table(spark, root, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES["op6_superkmer"] = f"""
