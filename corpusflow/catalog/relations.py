@@ -762,7 +762,19 @@ def failure_streak(spark, root):
     return te.failure_streak(calls(spark, root)).select("seq", "streak")
 
 
-@query("w06_circuit_intervals")
+def sql_circuit(k: int, secs: int) -> str:
+    """One step per call and provider, as ``run`` rows."""
+    return f"""RECURSIVE c AS MATERIALIZED (SELECT user_id % 7 AS p, event_id AS seq, epoch_us(ts) / 1e6::DOUBLE AS t, event_type <> 'error' AS ok,
+  row_number() OVER (PARTITION BY user_id % 7 ORDER BY ts, event_id) AS i FROM events),
+run AS (SELECT p, 0::BIGINT AS i, NULL::BIGINT AS seq, false AS refused, 0::BIGINT AS failures, 0::DOUBLE AS until, false AS alert, 0::DOUBLE AS t FROM c WHERE i = 1
+  UNION ALL SELECT c.p, c.i, c.seq, r.until > c.t, CASE WHEN r.until > c.t THEN r.failures WHEN ok THEN 0 ELSE r.failures + 1 END,
+    CASE WHEN r.until > c.t THEN r.until WHEN ok THEN 0 WHEN r.failures + 1 >= {k} THEN c.t + {secs} ELSE r.until END,
+    NOT ok AND r.until <= c.t AND r.failures + 1 >= {k}, c.t
+  FROM run r JOIN c ON c.p = r.p AND c.i = r.i + 1)"""
+
+
+@query("w06_circuit_intervals", f"""
+WITH {sql_circuit(2, 3600)} SELECT p::VARCHAR AS provider, seq, refused, failures, alert, CASE WHEN until > t THEN until END AS open_until FROM run WHERE i > 0""")
 def circuit_intervals(spark, root):
     few = calls(spark, root).withColumn("provider", (F.col("provider").cast("bigint") % 7).cast("string"))
     return te.circuit_intervals(few, 2, 3600)

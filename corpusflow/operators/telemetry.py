@@ -1,15 +1,13 @@
-"""Traffic, provider, job and task metrics; quotas, streaks and circuit breakers."""
+"""Traffic, provider, job and task metrics; quotas and streaks."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import strip, text_of
-from corpusflow.operators.fold import ordered_fold
-from corpusflow.operators.scan import running_sum, time_chunk
+from corpusflow.operators.circuit import circuit_intervals, circuit_step  # noqa: F401  the breaker belongs to the metrics
+from corpusflow.operators.scan import time_chunk
 
 
 def traffic_metrics(events: DataFrame, intent: str = "intent") -> DataFrame:
@@ -158,49 +156,3 @@ def failure_streak(calls: DataFrame, chunk_seconds: int = 86_400) -> DataFrame:
     both = here.join(ends.select(*keys, "_ein", "_bin"), keys, "left")
     streak = F.col("_ein") + F.col("_errors") - F.coalesce(F.col("_ein") + F.col("_base"), F.col("_bin"))
     return both.withColumn("streak", streak).select(*calls.columns, "streak")
-
-
-def circuit_step(state: tuple, ts: float, ok: bool, first_attempt: bool, k: int, secs: float) -> tuple:
-    """One call against ``(failures, open_until, let_through)``; returns the new state, refusal
-    and whether an alert starts. Retries follow the decision on their call's first attempt."""
-    failures, until, through = state
-    if first_attempt:
-        through = until <= ts
-    if not through:
-        return (failures, until, False), True, False
-    if ok:
-        return (0, 0.0, True), False, False
-    failures += 1
-    alert = failures >= k and until <= ts
-    return (failures, ts + secs if failures >= k else until, True), False, alert
-
-
-def circuit_intervals(calls: DataFrame, k: int = 3, secs: int = 60, chunk_seconds: int = 86_400) -> DataFrame:
-    """Refusals, failure counts and alerts per call.
-
-    A refused call does not count, so the outcome feeds back into the state and needs a fold. A
-    success at least ``secs`` after the last error is certainly let through and resets the
-    state, so each provider is cut there and its segments are folded in parallel. The cuts are
-    found inside time chunks: errors of earlier chunks lie before the start of the chunk."""
-    order = ["ts", "seq"]
-    wait = max(1, secs) * 1_000_000
-    src = calls if "attempt" in calls.columns else calls.withColumn("attempt", F.lit(1))
-    src = src.withColumn("_chunk", time_chunk("ts", chunk_seconds)).withColumn("_at", F.unix_micros("ts"))
-    earlier = Window.partitionBy("provider", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    error_at = F.last(F.when(~F.col("ok"), F.col("_at")), ignorenulls=True).over(earlier)
-    quiet = F.col("_at") - F.coalesce(error_at, F.col("_chunk") * F.lit(chunk_seconds * 1_000_000)) >= wait
-    seen = src.withColumn("_cut", (F.col("ok") & (F.col("attempt") == 1) & quiet).cast("int"))
-    parts = running_sum(seen, ["provider"], order, "_chunk", F.col("_cut"), "_segment")
-    ready = parts.select(F.col("provider").cast("string").alias("provider"), "_segment", "seq",
-                         (F.unix_micros("ts") / F.lit(1e6)).alias("at"), "ok",
-                         (F.col("attempt") == 1).alias("first"))
-
-    def step(state, row):
-        state, refused, alert = circuit_step(state, row.at, row.ok, row.first, k, wait / 1e6)
-        until = state[1] if state[1] > row.at else math.nan
-        return state, (row.provider, row.seq, refused, state[0], alert, until)
-
-    schema = ("provider string, seq bigint, refused boolean, failures bigint, alert boolean, "
-              "open_until double")
-    out = ordered_fold(ready, ["provider", "_segment"], ["at", "seq"], lambda: (0, 0.0, True), step, schema)
-    return out.withColumn("open_until", F.nanvl("open_until", F.lit(None).cast("double")))
