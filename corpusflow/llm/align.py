@@ -7,7 +7,9 @@ Two neighbouring fragments compose into one: the suffix of the left and the pref
 A range without a common end is all open and only grows its neighbour. Composition is associative, so a tree
 of tasks, ``FAN`` fragments a node, reduces a text of any length; ``START`` in front closes the first group.
 
-A text up to ``chunk`` bytes is one fragment in the task that reads it. A longer one is dealt as byte ranges
+A text up to ``chunk`` bytes is aligned in the task that reads it: it falls into pieces where both tokenizers
+surely begin anew, and such a piece is a closed fragment, so that each distinct piece of a batch of texts is
+aligned once, all of them as if they were one text. A longer text is dealt as byte ranges
 to other tasks; a range travels with its text from the last place before it where both tokenizers surely
 begin anew to the first such place behind it, and owns the tokens that end inside it.
 
@@ -22,6 +24,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,16 @@ from corpusflow.session import settle
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 256 << 10
+CHUNK = 64 << 10
 #: A border moves to the end of a stretch that both tokenizers can't surely leave, if that is longer.
 STRETCH = 4 << 10
 FAN = 16
 BLOCK_PAIRS = 1 << 20
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 
 #: Both tokenizers begin anew in front of a blank or line break between two other characters.
 _ANEW = re.compile(r"(?<=\S)[ \n](?=\S)")
+_PIECE = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _NONE = np.zeros(0, np.int64)
 
 
@@ -123,8 +127,8 @@ def _summed(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarr
     return found, np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs a * width + b of groups of ``na`` and ``nb`` tokens, and how often each is linked."""
+def _linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs a * width + b of groups of ``na`` and ``nb`` tokens, how often each is linked, and its group."""
     ta = tb = None
     if len(na) and int((na * nb).max()) > 4096:
         # wide groups by their distinct ids, so that a run of one id is one entry
@@ -137,25 +141,23 @@ def _linked(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, width:
     first = np.cumsum(nb) - nb
     i = np.repeat(np.arange(len(a)), wide)
     j = np.arange(len(i)) - np.repeat(np.cumsum(wide) - wide, wide) + first[of][i]
-    return _summed(a[i] * width + b[j], None if ta is None else ta[i] * tb[j])
+    return a[i] * width + b[j], np.ones(len(i), np.int64) if ta is None else ta[i] * tb[j], of[i]
 
 
-def _spelled(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t: Tokenizers) -> bytes:
-    """Groups as text: ids of the first, a bar, ids of the second; semicolons between groups."""
-    if not len(na):
-        return b""
+def _spelling(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t: Tokenizers) -> list[bytes]:
+    """Groups as text, token by token: ids of the first, a bar, ids of the second, a semicolon."""
     ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
     code = np.empty(len(a) + len(b), np.int64)
     code[np.arange(len(a)) + np.repeat(ends_b - nb, na)] = a
     code[np.arange(len(b)) + np.repeat(ends_a, nb)] = b
     code[ends_a + ends_b - nb - 1] += t.numbers
     code[ends_a + ends_b - 1] += 2 * t.numbers
-    return b"".join(map(t.spelling.__getitem__, code.tolist()))[:-1]
+    return list(map(t.spelling.__getitem__, code.tolist()))
 
 
 def _closed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, t: Tokenizers) -> dict:
-    pairs, times = _linked(a, b, na, nb, len(t.raw_b))
-    return {"groups": len(na), "links": int(na @ nb), "text": _spelled(a, b, na, nb, t), "pairs": pairs, "times": times}
+    pairs, times = _summed(*_linked(a, b, na, nb, len(t.raw_b))[:2])
+    return {"groups": len(na), "links": int(na @ nb), "text": b"".join(_spelling(a, b, na, nb, t))[:-1], "pairs": pairs, "times": times}
 
 
 def fragment(ids_a: list[int], ids_b: list[int], whole: bytes, lo: int, hi: int, t: Tokenizers) -> Fragment:
@@ -201,6 +203,57 @@ def compose(f: Fragment, g: Fragment, t: Tokenizers) -> Fragment:
                     prefix_a=f.prefix_a, prefix_b=f.prefix_b, suffix_a=g.suffix_a, suffix_b=g.suffix_b)
 
 
+def aligned(raws: list[bytes], t: Tokenizers) -> list[Fragment]:
+    """Whole texts, each as a closed fragment; what has no tokens has none of anything."""
+    known: dict[str, int] = {}
+    of: list[int] = []
+    sizes = []
+    for raw in raws:
+        text = " " + raw.decode("utf-8", "replace")
+        parts = _PIECE.split(text) if raw else []
+        of += [known.setdefault(x, len(known)) for x in parts]
+        sizes.append(len(parts))
+    pieces = list(known)
+    ids_a, ids_b = t.encode(pieces) if pieces else ([], [])
+    raw_pieces = [x.encode() for x in pieces]
+    fits = np.array([b"".join(map(t.raw_a.__getitem__, a)) == x == b"".join(map(t.raw_b.__getitem__, b))
+                     for a, b, x in zip(ids_a, ids_b, raw_pieces)], bool)
+    ids_a, ids_b = ([x if f else [] for x, f in zip(ids, fits)] for ids in (ids_a, ids_b))
+    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+    a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+    ends_a, ends_b = np.cumsum(t.len_a[a]), np.cumsum(t.len_b[b])
+    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    na, nb = (np.bincount(np.searchsorted(common, e), minlength=len(common)) for e in (ends_a, ends_b))
+    piece = np.searchsorted(np.cumsum(n_a), np.cumsum(na))  # of each group: pieces end where groups end
+    m = len(pieces)
+    groups, links = np.bincount(piece, minlength=m), np.bincount(piece, weights=na * nb, minlength=m).astype(np.int64)
+    spelling, last = _spelling(a, b, na, nb, t), np.concatenate(([0], np.cumsum(n_a + n_b))).tolist()
+    texts = [b"".join(spelling[x:y]) for x, y in zip(last, last[1:])]
+    pairs, times, group = _linked(a, b, na, nb, len(t.raw_b))
+    width = np.bincount(piece[group], minlength=m)
+    start = np.cumsum(width) - width
+    sizes = np.array(sizes, np.int64)
+    doc, at = np.repeat(np.arange(len(raws)), sizes), np.array(of, np.int64)
+    whole = np.array([" ".encode() + r == (" " + r.decode("utf-8", "replace")).encode() and len(r) > 0 for r in raws], bool)
+    whole &= np.bincount(doc, weights=~fits[at], minlength=len(raws)) == 0
+    keep = whole[doc]
+    doc, at = doc[keep], at[keep]
+    sums = [np.bincount(doc, weights=x[at], minlength=len(raws)).astype(np.int64).tolist() for x in (n_a, n_b, groups, links)]
+    # distinct pieces of a text first, then their pairs
+    held, often = np.unique(doc * max(m, 1) + at, return_counts=True)
+    doc_of, p = held // max(m, 1), held % max(m, 1)
+    i = np.repeat(start[p] - (np.cumsum(width[p]) - width[p]), width[p]) + np.arange(int(width[p].sum()))
+    lift = len(t.raw_a) * len(t.raw_b)
+    keys, n = _summed(np.repeat(doc_of, width[p]) * lift + pairs[i], np.repeat(often, width[p]) * times[i])
+    edge = np.searchsorted(keys, np.arange(len(raws) + 1) * lift)
+    keys = keys % lift
+    out, begin = [], np.concatenate(([0], np.cumsum(sizes))).tolist()
+    for d in range(len(raws)):
+        text = b"".join([texts[k] for k in of[begin[d]:begin[d + 1]]])[:-1] if whole[d] else b""
+        out.append(Fragment(True, sums[0][d], sums[1][d], sums[2][d], sums[3][d], text, keys[edge[d]:edge[d + 1]], n[edge[d]:edge[d + 1]]))
+    return out
+
+
 def ranges(text: str, chunk: int) -> list[tuple[int, int, int, int]]:
     """Context and borders (from, to, lo, hi), in characters, of the ranges of some ``chunk`` characters of a text."""
     borders, n, at = [], len(text), chunk
@@ -350,13 +403,6 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, c
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(*paths)
 
-        def some(ids: list, raws: list[bytes]) -> Iterator[tuple[int | None, Fragment, int]]:
-            texts = [" " + r.decode("utf-8", "replace") for r in raws]
-            for doc, raw, a, b in zip(ids, raws, *t.encode(texts)):
-                f = fragment(a, b, b" " + raw, 0, len(raw) + 1, t) if raw else Fragment(fits=False)
-                f = compose(START, f, t)
-                yield doc, f if f.fits else Fragment(), 1
-
         def every() -> Iterator[tuple[int | None, Fragment, int]]:
             for batch in batches:
                 ids, raws, held = [], [], 0
@@ -365,9 +411,9 @@ def align(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES, c
                     raws.append(raw.as_py())
                     held += len(raws[-1])
                     if held > BATCH_BYTES:
-                        yield from some(ids, raws)
+                        yield from zip(ids, aligned(raws, t), repeat(1))
                         ids, raws, held = [], [], 0
-                yield from some(ids, raws)
+                yield from zip(ids, aligned(raws, t), repeat(1))
 
         yield from _blocks(every())
 

@@ -100,7 +100,7 @@ def test_wide_groups():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 9, 300), rng.integers(0, 7, 260)
     na, nb = np.array([100, 200]), np.array([60, 200])
-    pairs, times = align._linked(a, b, na, nb, 10)
+    pairs, times = align._summed(*align._linked(a, b, na, nb, 10)[:2])
     want = Counter(int(x) * 10 + int(y) for xs, ys in ((a[:100], b[:60]), (a[100:], b[60:])) for x in xs for y in ys)
     assert dict(zip(pairs.tolist(), times.tolist())) == want
 
