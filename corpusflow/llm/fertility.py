@@ -189,10 +189,11 @@ def judge(docs: DataFrame, byte_ranks: str = BYTE_RANKS, pieces: str = PIECES, f
     rows = settle(measured(docs, byte_ranks, pieces).withColumn("base_failed", failed))
     # tags and scripts: some 18,000 rows at most
     limits = bands(rows.filter("NOT base_failed"), fence)
-    every = limits.filter("language = ''").select(*[F.col(c).alias(f"all_{c}") for c in limits.columns if c != "language"])
-    both = rows.join(F.broadcast(limits), "language", "left").join(F.broadcast(every), F.lit(True), "left")
-    inside = F.lit(True)
+    every = limits.filter("language = ''").first()  # one row
+    both = rows.join(F.broadcast(limits), "language", "left")
+    inside = F.lit(every is not None)
     for m, _, _ in MEASURES:
-        inside &= F.col(m).between(F.coalesce(f"{m}_low", f"all_{m}_low"), F.coalesce(f"{m}_high", f"all_{m}_high"))
+        low, high = (F.coalesce(F.col(f"{m}_{side}"), F.lit(every[f"{m}_{side}"] if every else None)) for side in ("low", "high"))
+        inside &= F.col(m).between(low, high)
     return both.select("doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
                        "language", *[m for m, _, _ in MEASURES])
