@@ -100,9 +100,10 @@ def event_k():
 
 
 def chat_events(spark: SparkSession, root: str) -> DataFrame:
-    """Exchanges of the conversations with the flags of the event of the same number."""
+    """Every event with the exchanges of its conversation: events deal the conversations out in turn."""
+    n = conversations(spark, root).agg(F.max("conv_id") + 1).first()[0] or 1
     e = load(spark, root, "events").select(
-        F.col("event_id").alias("conv_id"), "event_type", "value", event_k().alias("k"), "ts")
+        "event_id", (F.col("event_id") % n).alias("conv_id"), "event_type", "value", event_k().alias("k"), "ts")
     p = pairs(spark, root)
     return p.join(e, "conv_id").select(
         "conv_id", "turn", "user_text", "assistant_text",
@@ -113,7 +114,7 @@ def chat_events(spark: SparkSession, root: str) -> DataFrame:
             F.array().cast("array<string>")).alias("verifier_issues"),
         (F.col("k") % 5 == 0).alias("has_quality"), (F.col("k") / F.lit(100.0)).cast("string").alias("quality_text"),
         F.concat(F.lit("s"), F.col("k").cast("string")).alias("summary"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"), "ts", "k",
+        (F.col("event_id") * 1000 + F.col("turn")).alias("row_idx"), "ts", "k",
     )
 
 
@@ -188,5 +189,5 @@ SQL_EVENTS = """ev AS (
 SQL_CHAT = SQL_PAIRS + ", " + SQL_EVENTS + """, chat AS (
   SELECT p.*, e.event_type <> 'error' AS in_domain, k % 7 = 0 AS low, k % 3 = 0 AS corrected,
          k % 2 = 1 AS issue, k % 5 = 0 AS has_quality, k / 100.0::DOUBLE AS q, 's' || k AS summary,
-         conv_id * 1000 + turn AS row_idx, e.ts, k
-  FROM pairs p JOIN ev e ON e.event_id = p.conv_id)"""
+         event_id * 1000 + turn AS row_idx, e.ts, k
+  FROM pairs p JOIN ev e ON e.event_id % (SELECT max(conv_id) + 1 FROM conversations) = p.conv_id)"""

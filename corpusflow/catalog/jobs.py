@@ -440,13 +440,13 @@ def question_variants(spark, root):
 
 @query("c11_remediation_from_failures", f"""
 WITH {sql_bench()}, fr AS (SELECT unnest(['Directly.', 'In short.', 'For beginners.']) AS frame),
-f AS (SELECT DISTINCT {strip('question')} AS question, array_to_string([x for x in string_split(question, ' ')[1:6] if x <> ''], ', ') AS kw FROM bench WHERE final < 0.60),
+f AS (SELECT DISTINCT {strip('question')} AS question, array_to_string([x for x in string_split(question, ' ') if x <> ''], ', ') AS kw FROM bench WHERE final < 0.60),
 r AS (SELECT question || ' ' || frame AS instruction, 'Key points: ' || kw || '.' AS response FROM f, fr)
-SELECT instruction, response FROM r ORDER BY md5('4|' || lower(instruction) || '|' || lower(response)), lower(instruction) || '|' || lower(response) LIMIT 30""")
+SELECT instruction, response FROM r ORDER BY md5('4|' || lower(instruction) || '|' || lower(response)), lower(instruction) || '|' || lower(response) LIMIT (SELECT count(*) FROM benchmark)""")
 def remediation(spark, root):
     scored = ev.score_benchmark(answers(spark, root), cases(spark, root), bad_markers=MARKS)
     frames = spark.createDataFrame([(0, "Directly."), (1, "In short."), (2, "For beginners.")], "idx int, value string")
-    out = sy.remediation_from_failures(spark, scored, frames, "Key points: {keywords}.", 30, 4)
+    out = sy.remediation_from_failures(spark, scored, frames, "Key points: {keywords}.", load(spark, root, "benchmark").count(), 4)
     return out.select("instruction", "response")
 
 

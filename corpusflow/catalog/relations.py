@@ -130,18 +130,19 @@ def domain_allowlist(spark, root):
 
 
 def _passages(spark, root):
-    """Every line of every document, and prompts: benchmark items, plain and with altered words."""
+    """Every line of every document, and prompts: benchmark items, and every line without a fifth of its words."""
     d = documents(spark, root)
-    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     b = load(spark, root, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    own = b.select(
-        (F.col("prompt_id") + COPY_STEP).alias("prompt_id"), F.concat(F.upper("prompt"), F.lit("!")).alias("prompt"))
-    return b.unionByName(own), lines
+    kept = F.filter(F.split("text", " "), lambda w, i: (i + F.col("doc_id") + F.col("pos")) % 5 != 0)
+    own = lines.select(((F.col("doc_id") + 1) * COPY_STEP + F.col("pos")).cast("bigint").alias("prompt_id"), F.array_join(kept, " ").alias("prompt"))
+    return b.unionByName(own), lines.select("doc_id", "text")
 
 
-SQL_PASSAGES = """train AS (SELECT unnest(string_split(text, chr(10))) AS text FROM documents),
+SQL_PASSAGES = """ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents),
+train AS (SELECT text FROM ln),
 prompts AS (SELECT item_id AS prompt_id, text AS prompt FROM benchmark UNION ALL
-  SELECT item_id + 1000000000, upper(text) || '!' FROM benchmark)"""
+  SELECT (doc_id + 1) * 1000000000 + pos, array_to_string(list_filter(string_split(text, ' '), lambda w, i: (i - 1 + doc_id + pos) % 5 <> 0), ' ') FROM ln)"""
 SQL_EXACT = f"""{SQL_PASSAGES},
 exact AS (SELECT prompt_id FROM prompts WHERE {soft('prompt')} IN (SELECT {soft('text')} FROM train WHERE {strip('text')} <> ''))"""
 
@@ -150,11 +151,20 @@ def sql_set(x: str) -> str:
     return f"list_distinct(list_filter(string_split({soft(x)}, ' '), lambda t: t <> ''))"
 
 
-SQL_JACCARD = f"""ts AS (SELECT DISTINCT list_sort({sql_set('text')}) AS t FROM train WHERE {strip('text')} <> ''),
-ps AS (SELECT prompt_id, {sql_set('prompt')} AS p FROM prompts),
-near AS (SELECT DISTINCT prompt_id FROM ps, ts WHERE (len(p) = 0 AND len(t) = 0) OR (len(p) > 0 AND len(t) > 0
-  AND len(t) >= 0.7 * len(p) - 1 AND len(p) >= 0.7 * len(t) - 1
-  AND len(list_intersect(p, t))::DOUBLE / (len(p) + len(t) - len(list_intersect(p, t))) >= 0.70::DOUBLE))"""
+def _sql_first(side: str) -> str:
+    """The rarest tokens of every set, of which similar sets share one."""
+    return f"""{side}x AS (SELECT k, tok, n FROM (SELECT k, tok, n, row_number() OVER (PARTITION BY k ORDER BY coalesce(c, 0), tok) AS r
+  FROM (SELECT k, s, len(s) AS n, unnest(s) AS tok FROM {side}s) LEFT JOIN f USING (tok)) WHERE r <= n - ceil(0.7 * n - 1e-9) + 1)"""
+
+
+SQL_JACCARD = f"""ts AS (SELECT row_number() OVER () AS k, s FROM (SELECT DISTINCT list_sort({sql_set('text')}) AS s FROM train WHERE {strip('text')} <> '')),
+pq AS (SELECT prompt_id, list_sort({sql_set('prompt')}) AS s FROM prompts), ps AS (SELECT row_number() OVER () AS k, s FROM (SELECT DISTINCT s FROM pq)),
+f AS (SELECT tok, count(*) AS c FROM (SELECT unnest(s) AS tok FROM ts) GROUP BY tok), {_sql_first('t')}, {_sql_first('p')},
+cand AS (SELECT DISTINCT px.k AS p, tx.k AS t FROM px JOIN tx USING (tok) WHERE tx.n >= 0.7 * px.n - 1e-9 AND px.n >= 0.7 * tx.n - 1e-9),
+hit AS (SELECT DISTINCT ps.s FROM cand JOIN ps ON ps.k = p JOIN ts ON ts.k = t
+  WHERE len(list_intersect(ps.s, ts.s))::DOUBLE / (len(ps.s) + len(ts.s) - len(list_intersect(ps.s, ts.s))) >= 0.70::DOUBLE
+  UNION SELECT ps.s FROM ps JOIN ts USING (s)),
+near AS (SELECT prompt_id FROM pq SEMI JOIN hit USING (s))"""
 
 
 @query("j05_exact_overlap", f"""
@@ -250,17 +260,19 @@ def search(spark, root):
 
 
 SQL_CASES = """cases AS (SELECT item_id AS case_id, text AS question,
-  [trim(lower(w)) for w in string_split(text, ' ')[1:6] if trim(w) <> ''] AS kw FROM benchmark),
-ans AS (SELECT doc_id AS case_id, text AS answer FROM documents)"""
+  [trim(lower(w)) for w in string_split(text, ' ') if trim(w) <> ''] AS kw FROM benchmark),
+ans AS (SELECT doc_id, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS case_id, text AS answer FROM documents)"""
 
 
 def cases(spark, root):
     return load(spark, root, "benchmark").select(
-        F.col("item_id").alias("case_id"), F.col("text").alias("question"), F.slice(F.split("text", " "), 1, 6).alias("keywords"))
+        F.col("item_id").alias("case_id"), F.col("text").alias("question"), F.split("text", " ").alias("keywords"))
 
 
 def answers(spark, root):
-    return documents(spark, root).select(F.col("doc_id").alias("case_id"), F.col("text").alias("answer"))
+    """Every document as an answer; the cases take turns."""
+    n = load(spark, root, "benchmark").agg(F.max("item_id") + 1).first()[0] or 1
+    return documents(spark, root).select("doc_id", (F.col("doc_id") % n).alias("case_id"), F.col("text").alias("answer"))
 
 
 def sql_low(collapsed: bool) -> str:
@@ -268,12 +280,12 @@ def sql_low(collapsed: bool) -> str:
 
 
 @query("j09_keyword_coverage", f"""
-WITH {SQL_CASES} SELECT case_id, len(kw) AS total, len(list_filter(kw, lambda k: contains({norm('answer')}, k))) AS hits,
+WITH {SQL_CASES} SELECT doc_id, case_id, len(kw) AS total, len(list_filter(kw, lambda k: contains({norm('answer')}, k))) AS hits,
   round(len(list_filter(kw, lambda k: contains({norm('answer')}, k)))::DOUBLE / len(kw), 6) AS coverage
 FROM cases JOIN ans USING (case_id)""")
 def keyword_coverage(spark, root):
     k = ev.keyword_coverage(answers(spark, root), cases(spark, root))
-    return k.select("case_id", "total", "hits", F.round("coverage", 6).alias("coverage"))
+    return k.select("doc_id", "case_id", "total", "hits", F.round("coverage", 6).alias("coverage"))
 
 
 MARKS = ["thble ", "erheti"]
@@ -281,7 +293,7 @@ MARKS = ["thble ", "erheti"]
 
 def sql_bench(collapsed: bool = True) -> str:
     low = sql_low(collapsed)
-    return f"""{SQL_CASES}, hit AS (SELECT case_id, question, kw, answer, {low} AS low,
+    return f"""{SQL_CASES}, hit AS (SELECT doc_id, case_id, question, kw, answer, {low} AS low,
   len(list_filter(kw, lambda k: contains({low}, k)))::DOUBLE / len(kw) AS cov FROM cases JOIN ans USING (case_id)),
 fin AS (SELECT *, CASE WHEN contains(low, 'thble ') THEN 'thble ' WHEN contains(low, 'erheti') THEN 'erheti' ELSE '' END AS bad_marker,
   CASE WHEN length({strip('answer')}) BETWEEN 80 AND 1200 THEN 1 ELSE 0 END AS length_ok FROM hit),
@@ -290,18 +302,18 @@ bench AS (SELECT *, cov * 0.70::DOUBLE + (CASE WHEN bad_marker = '' THEN 0.20::D
 
 
 @query("c10_score_benchmark", f"""
-WITH {sql_bench()} SELECT case_id, round(cov, 4) AS keyword_coverage, bad_marker, length_ok::BIGINT AS length_ok,
+WITH {sql_bench()} SELECT doc_id, case_id, round(cov, 4) AS keyword_coverage, bad_marker, length_ok::BIGINT AS length_ok,
   round(final, 4) AS score, (final >= 0.60::DOUBLE)::BIGINT AS passed FROM bench""")
 def score_benchmark(spark, root):
     s = ev.score_benchmark(answers(spark, root), cases(spark, root), bad_markers=MARKS)
-    return s.select("case_id", "keyword_coverage", "bad_marker", "length_ok", "score", "passed")
+    return s.select("doc_id", "case_id", "keyword_coverage", "bad_marker", "length_ok", "score", "passed")
 
 
 @query("c10_score_benchmark_live", f"""
-WITH {sql_bench(False)} SELECT case_id, round(final, 4) AS score, (final >= 0.60::DOUBLE)::BIGINT AS passed FROM bench""")
+WITH {sql_bench(False)} SELECT doc_id, case_id, round(final, 4) AS score, (final >= 0.60::DOUBLE)::BIGINT AS passed FROM bench""")
 def score_benchmark_live(spark, root):
     s = ev.score_benchmark(answers(spark, root), cases(spark, root), "live", bad_markers=MARKS)
-    return s.select("case_id", "score", "passed")
+    return s.select("doc_id", "case_id", "score", "passed")
 
 
 SQL_SUMMARY = f"""{sql_bench()}, summary AS (SELECT count(*) AS cases, round(avg(round(final, 4)), 4) AS score_mean,
@@ -925,11 +937,12 @@ def distinct_texts(spark, root):
 
 
 @query("u03_token_set_ops", f"""
-WITH x AS (SELECT item_id, {toks('b.text')} AS a, {toks('d.text')} AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id, len(list_intersect(a, t)) AS inter, len(list_distinct(a || t)) AS "union",
+WITH x AS (SELECT item_id, doc_id, {toks('b.text')} AS a, {toks('d.text')} AS t FROM benchmark b
+  JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id)
+SELECT item_id, doc_id, len(list_intersect(a, t)) AS inter, len(list_distinct(a || t)) AS "union",
   round(len(list_intersect(a, t))::DOUBLE / greatest(1, len(list_distinct(a))), 6) AS share FROM x""")
 def token_set_ops(spark, root):
     b = load(spark, root, "benchmark").select("item_id", F.col("text").alias("q"))
-    x = b.join(documents(spark, root), F.col("item_id") == F.col("doc_id"))
-    s = dd.token_set_ops(tx.tokens("q"), tx.tokens("text"))
-    return x.select("item_id", s.alias("s")).select("item_id", "s.inter", "s.union", F.round("s.share", 6).alias("share"))
+    x = b.join(answers(spark, root), F.col("item_id") == F.col("case_id"))
+    s = dd.token_set_ops(tx.tokens("q"), tx.tokens("answer"))
+    return x.select("item_id", "doc_id", s.alias("s")).select("item_id", "doc_id", "s.inter", "s.union", F.round("s.share", 6).alias("share"))

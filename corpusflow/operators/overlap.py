@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.labels import any_hint
@@ -24,41 +24,46 @@ def token_set(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(norm_soft(c), " "), lambda t: t != "")))
 
 
+#: Tokens of most texts that come last in the order of an index; any set of them is right.
+FREQUENT = 2_000
+
+
+def _prefixes(sets: DataFrame, key: str, tokens: str, frequent: list[str], threshold: float) -> DataFrame:
+    """(key, n, pos, token): the first tokens of every set, in one order of all tokens, of which sets that are
+    similar enough share one."""
+    order = F.array_sort(F.transform(tokens, lambda x: F.struct(x.isin(frequent).alias("late"), F.xxhash64(x).alias("h"), x.alias("token"))))
+    n = F.size(tokens)
+    take = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
+    ready = sets.filter(n > 0).select(key, n.alias("n"), F.slice(order, F.lit(1), take).alias("o"))
+    return ready.select(key, "n", F.posexplode("o").alias("pos", "x")).select(key, "n", "pos", F.col("x.token").alias("token"))
+
+
 def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.70,
                     prompt_id: str = "prompt_id", prompt: str = "prompt", text: str = "text") -> DataFrame:
     """Prompts for which some training text has a token-set Jaccard of at least ``threshold``.
 
-    A matching text shares at least ceil(threshold * n) of the n prompt tokens, hence one of any
-    n - ceil(threshold * n) + 1 of them; the rarest ones are looked up. Equal token sets are
-    collapsed first, candidates are cut by length and verified exactly. An empty prompt matches
+    Equal sets are one entry on both sides, and a prompt whose set is there is done. Of the others, both sides are
+    indexed by their first tokens in one order, frequent ones last; sizes and places of a common token rule most
+    pairs out. Pairs are keys until then: each pair that stays fetches its two sets once. An empty prompt matches
     an empty text."""
     sets = train.filter(strip(text) != "").select(token_set(text).alias("t"))
-    sets = sets.groupBy(digest(F.array_join("t", " ")).alias("_k")).agg(F.first("t").alias("t")).select("t")
-    sets = settle(sets)
-    asked = prompts.select(prompt_id, token_set(prompt).alias("p"))
-    vocabulary = bounded_broadcast(asked.select(F.explode("p").alias("token")).distinct())
-    seen = sets.select(F.explode("t").alias("token")).join(vocabulary, "token", "left_semi")
-    freq = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    n = F.size("p")
-    prefix = n - F.ceil(n * F.lit(threshold) - 1e-9) + 1
-    rare = Window.partitionBy(prompt_id).orderBy(F.coalesce("n", F.lit(0)), "token")
-    index = (
-        asked.filter(n > 0).select(prompt_id, "p", prefix.alias("_take"), F.explode("p").alias("token"))
-        .join(freq, "token", "left").withColumn("_r", F.row_number().over(rare))
-        .filter(F.col("_r") <= F.col("_take")).select(prompt_id, "p", "token")
-    )
-    a, b = F.size("p"), F.size("t")
+    sets = settle(sets.groupBy(digest(F.array_join("t", " ")).alias("sid")).agg(F.first("t").alias("t")))
+    asked = settle(prompts.select(prompt_id, token_set(prompt).alias("p")).withColumn("pid", digest(F.array_join("p", " "))))
+    wanted = asked.groupBy("pid").agg(F.first("p").alias("p"))
+    same = F.col("pid") == F.col("sid")
+    found = wanted.join(sets.select("sid"), same, "left_semi").select("pid")
+    left = settle(wanted.join(sets.select("sid"), same, "left_anti"))
+    often = sets.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    frequent = [r["token"] for r in often.filter("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
+    x, y = _prefixes(left, "pid", "p", frequent, threshold).alias("x"), _prefixes(sets, "sid", "t", frequent, threshold).alias("y")
+    a, b = F.col("x.n"), F.col("y.n")
+    reach = F.least(a - F.col("x.pos"), b - F.col("y.pos"))  # tokens that both may still share
+    fits = (b >= a * F.lit(threshold) - 1e-9) & (a >= b * F.lit(threshold) - 1e-9) & (reach * F.lit(1 + threshold) >= (a + b) * F.lit(threshold) - 1e-9)
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).filter(fits).select("pid", "sid").distinct()
     inter = F.size(F.array_intersect("p", "t"))
-    near = (
-        sets.filter(b > 0).select("t", F.explode("t").alias("token"))
-        .join(bounded_broadcast(index), "token")
-        .filter((b >= a * F.lit(threshold) - 1e-9) & (b * F.lit(threshold) - 1e-9 <= a))
-        .filter(inter / (a + b - inter) >= threshold)
-        .select(prompt_id).distinct()
-    )
-    blank_texts = sets.filter(F.size("t") == 0).agg(F.count(F.lit(1)).alias("_n"))
-    blank = asked.filter((n == 0) & (blank_texts.scalar() > 0)).select(prompt_id)
-    return near.unionByName(blank)
+    near = (pairs.join(left, "pid").join(sets, "sid")
+            .filter(inter / (F.size("p") + F.size("t") - inter) >= threshold).select("pid").distinct())
+    return asked.join(found.unionByName(near), "pid", "left_semi").select(prompt_id)
 
 
 def contamination_report(prompts: DataFrame, train: DataFrame, threshold: float = 0.70,

@@ -72,17 +72,17 @@ def document_frequency(docs: DataFrame, text: str = "text", kind: str = "letters
                        filled_only: bool = True, vocabulary: DataFrame | None = None) -> DataFrame:
     """``(token, df, idf)``; ``filled_only`` leaves documents without tokens out of n.
 
-    A document contributes its distinct tokens, so no distinct count is shuffled."""
-    sets = docs.select(F.array_distinct(tokens(text, kind)).alias("_t"))
-    counted = sets.filter(F.size("_t") > 0) if filled_only else sets
-    n = counted.agg(F.count(F.lit(1)).alias("_n"))
-    terms = sets.select(F.explode("_t").alias("token"))
+    A document contributes its distinct tokens, and an empty token for itself: one pass counts both."""
+    tokens_of = F.array_distinct(tokens(text, kind))
+    sets = docs.select(tokens_of.alias("_t"))
+    own = F.array_append("_t", F.lit(""))
+    terms = sets.select(F.explode(F.when(F.size("_t") > 0, own).otherwise(F.col("_t")) if filled_only else own).alias("token"))
     if vocabulary is not None:
-        terms = terms.join(vocabulary, "token", "left_semi")
-    freq = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return freq.select(
-        "token", "df", idf_value(F.greatest(n.scalar(), F.lit(1)), F.col("df")).alias("idf")
-    )
+        marker = docs.sparkSession.createDataFrame([("",)], "token string")
+        terms = terms.join(bounded_broadcast(vocabulary.unionByName(marker)), "token", "left_semi")
+    freq = settle(terms.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    n = freq.filter("token = ''").agg(F.coalesce(F.max("df"), F.lit(1)).alias("_n"))
+    return freq.filter("token <> ''").select("token", "df", idf_value(n.scalar(), F.col("df")).alias("idf"))
 
 
 def tfidf_join(queries: DataFrame, docs: DataFrame, kind: str = "knowledge", query: str = "query_id",
@@ -91,14 +91,15 @@ def tfidf_join(queries: DataFrame, docs: DataFrame, kind: str = "knowledge", que
     """``(query, doc, score)`` of every pair that shares a term.
 
     ``knowledge``: sum of qtf * tf * idf. ``web``: the same plus twice the share of distinct query
-    terms found. Only query terms leave the documents, counted per document on the map side; with
-    few queries their terms are broadcast and only matches move."""
+    terms found. Only query terms leave the documents. They are dealt by document once; what follows, counts, scores
+    and the best of each query per task (``topk_per_query``), stays where the document is, as long as the query terms
+    are few enough to be broadcast."""
     doc = list(doc)
     tokenizer = {"knowledge": "letters2", "web": "ascii"}[kind]
     asked = queries.select(query, F.explode(tokens(query_text, tokenizer)).alias("token"))
     qtf = asked.groupBy(query, "token").agg(F.count(F.lit(1)).alias("qtf"))
     if idf is None:
-        vocabulary = bounded_broadcast(qtf.select("token").distinct())
+        vocabulary = qtf.select("token").distinct()
         idf = document_frequency(docs, text, tokenizer, kind == "knowledge", vocabulary)
     # distinct terms of the query, counted before terms unknown to the documents drop out
     size = qtf.groupBy(query).agg(F.count(F.lit(1)).alias("_size"))
@@ -109,7 +110,8 @@ def tfidf_join(queries: DataFrame, docs: DataFrame, kind: str = "knowledge", que
     )
     terms = docs.select(*doc, F.explode(tokens(text, tokenizer)).alias("token"))
     known = bounded_broadcast(weighted.select("token").distinct())
-    tf = terms.join(known, "token", "left_semi").groupBy(*doc, "token").agg(F.count(F.lit(1)).alias("tf"))
+    dealt = terms.join(known, "token", "left_semi").repartition(*doc)
+    tf = dealt.groupBy(*doc, "token").agg(F.count(F.lit(1)).alias("tf"))
     score = F.sum(F.col("w") * F.col("tf"))
     if kind == "web":
         score = score + F.lit(2.0) * F.count(F.lit(1)) / F.first("_size")
@@ -167,9 +169,11 @@ def domain_allowlist(pages: DataFrame, allowed: DataFrame, url: str = "url") ->
     )
 
 
-def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200, max_chars: int = 120_000,
+def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200, max_chars: int = 0,
                 url: str = "url", html: str = "html", entities: bool = True) -> DataFrame:
-    """Chunks of the visible text, numbered per page; the key is ``(url, chunk_index)``."""
+    """Chunks of the visible text, numbered per page; the key is ``(url, chunk_index)``.
+
+    ``max_chars`` cuts the text of a page; 0 keeps it whole."""
     read = pages.select(
         F.col(url).alias("url"), url_domain(url).alias("domain"),
         html_title(html, entities).alias("title"), html_text(html, max_chars, entities).alias("_text"),
@@ -181,7 +185,7 @@ def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 200, max_char
 
 
 def build_web_chunks(pages: DataFrame, allowed: DataFrame, size: int = 1200, overlap: int = 200,
-                     max_chars: int = 120_000, failed: DataFrame | None = None
+                     max_chars: int = 0, failed: DataFrame | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """Chunks of the allowed pages and the ingest manifest."""
     good, blocked = domain_allowlist(pages, allowed)

@@ -109,13 +109,25 @@ def _limit(role: Column, limits: dict[str, tuple[int, int]], i: int) -> Column:
     return F.coalesce(F.try_element_at(table, role), F.lit(limits["basic"][i]))
 
 
+def _by_levels(df: DataFrame, limit: str, levels: list[int], counts) -> DataFrame:
+    """Mark as ``_in`` the rows that a counter admits which each row compares with a limit of its own.
+
+    The first ``levels[0]`` rows are in, whatever their limit; of the rows after them whose limit is higher the
+    next ``levels[1] - levels[0]``, and so on. ``counts(df, flag)`` adds the running number ``_c`` of flagged rows."""
+    df, floor = df.withColumn("_in", F.lit(False)), 0
+    for level in levels:
+        open_ = ~F.col("_in") & (F.col(limit) > floor)
+        df = counts(df, open_).withColumn("_in", F.col("_in") | (open_ & (F.col("_c") <= level - floor))).drop("_c")
+        floor = level
+    return df
+
+
 def rate_quota(requests: DataFrame, limits: dict[str, tuple[int, int]] | None = None,
                minute_seconds: int = 60, order: list[str] = ("ts", "seq")) -> DataFrame:
-    """Decision per request: ``admitted``, ``minute_limit`` or ``day_quota``.
+    """Decision per request: ``admitted``, ``minute_limit`` or ``day_quota``. A principal may change its role.
 
-    Requests are ranked inside their minute. A day rank needs no second pass over the requests:
-    it is the rank plus what the earlier minutes of the day admitted, which is a sum over one
-    row per minute. A role belongs to a principal."""
+    Requests are counted inside their minute. A count over the day needs no second order of the requests: it is
+    the count in the minute plus what the earlier minutes of the day hold, a sum over one row per minute."""
     limits = limits or ROLE_LIMITS
     src = requests.withColumns({
         "_minute": F.floor(F.unix_micros("ts") / F.lit(minute_seconds * 1_000_000)).cast("bigint"),
@@ -123,17 +135,20 @@ def rate_quota(requests: DataFrame, limits: dict[str, tuple[int, int]] | None =
         "_per_minute": _limit(F.col("role"), limits, 0), "_per_day": _limit(F.col("role"), limits, 1),
     })
     cell = ["principal", "_day", "_minute"]
-    minutes = src.groupBy(*cell).agg(
-        F.least(F.count(F.lit(1)), F.max("_per_minute")).alias("_let"))
+    upto = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     day = Window.partitionBy("principal", "_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
-    minutes = minutes.select(*cell, F.coalesce(F.sum("_let").over(day), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
-    out = src.withColumn("_rank", rank).join(minutes, cell, "left")
-    decision = (
-        F.when(F.col("_rank") > F.col("_per_minute"), "minute_limit")
-        .when(F.col("_before") + F.col("_rank") > F.col("_per_day"), "day_quota")
-        .otherwise("admitted")
-    )
+
+    def in_minute(df: DataFrame, flag: Column) -> DataFrame:
+        return df.withColumn("_c", F.sum(flag.cast("bigint")).over(upto))
+
+    def in_day(df: DataFrame, flag: Column) -> DataFrame:
+        here = in_minute(df, F.col("_let") & flag)
+        before = here.groupBy(*cell).agg(F.max("_c").alias("_c")).select(*cell, F.coalesce(F.sum("_c").over(day), F.lit(0)).alias("_before"))
+        return here.join(before, cell, "left").withColumn("_c", F.col("_c") + F.col("_before")).drop("_before")
+
+    let = _by_levels(src, "_per_minute", sorted({v[0] for v in limits.values()}), in_minute).withColumnRenamed("_in", "_let")
+    out = _by_levels(let, "_per_day", sorted({v[1] for v in limits.values()}), in_day)
+    decision = F.when(~F.col("_let"), "minute_limit").when(F.col("_in"), "admitted").otherwise("day_quota")
     return out.withColumn("decision", decision).select(*requests.columns, "decision")
 
 

@@ -176,7 +176,7 @@ def zip_files(a: DataFrame, b: DataFrame, by: str = "row_idx") -> DataFrame:
 
 
 def _pair_rows(df: DataFrame, prompt: Column, response: Column, conv: Column, turn: Column, source: str,
-               pretranslated: bool = False, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
+               pretranslated: bool = False, max_chars: int | None = None) -> DataFrame:
     rows = df.select(
         conv.alias("conversation_id"), turn.cast("int").alias("turn_index"), prompt.alias("prompt_en"),
         response.alias("response_en"), F.lit(source).alias("source_dataset"),
@@ -188,14 +188,14 @@ def _pair_rows(df: DataFrame, prompt: Column, response: Column, conv: Column, tu
     return rows.filter((F.length("prompt_en") <= max_chars) & (F.length("response_en") <= max_chars))
 
 
-def question_answer_pairs(df: DataFrame, name: str, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
+def question_answer_pairs(df: DataFrame, name: str, max_chars: int | None = None) -> DataFrame:
     stem = file_stem(name)
     conv = F.concat(F.lit(f"qa_{stem}_"), (F.col("row_idx") + 1).cast("string"))
     return _pair_rows(df, clean_text("question"), clean_text("answer"), conv, F.lit(0), f"qa_csv:{name}",
                       stem.lower().endswith("_fr"), max_chars)
 
 
-def dialog_pairs(df: DataFrame, name: str, max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
+def dialog_pairs(df: DataFrame, name: str, max_chars: int | None = None) -> DataFrame:
     """Neighbouring turns of the dialog column; blanks are gone before pairing."""
     turns = df.select("row_idx", parse_dialog("dialog").alias("t"))
     at = F.sequence(F.lit(0), F.size("t") - 2)
@@ -206,7 +206,7 @@ def dialog_pairs(df: DataFrame, name: str, max_chars: int | None = MAX_PAIR_CHAR
 
 
 def input_target_pairs(a: DataFrame, b: DataFrame, name_a: str, name_b: str,
-                       max_chars: int | None = MAX_PAIR_CHARS) -> DataFrame:
+                       max_chars: int | None = None) -> DataFrame:
     def texts(df: DataFrame) -> DataFrame:
         return df.select("row_idx", first_text([c for c in df.columns if c != "row_idx"]).alias("text"))
     both = zip_files(texts(a), texts(b))
@@ -217,7 +217,7 @@ def input_target_pairs(a: DataFrame, b: DataFrame, name_a: str, name_b: str,
 
 def discover_pair_sources(spark: SparkSession, root: str, prefer_native: bool = True,
                           native: str = "synthetic_realistic_qa_fr.csv",
-                          twin: str = "synthetic_realistic_qa.csv", max_chars: int | None = MAX_PAIR_CHARS,
+                          twin: str = "synthetic_realistic_qa.csv", max_chars: int | None = None,
                           ) -> tuple[DataFrame | None, DataFrame | None]:
     """Every pair table in a folder, routed by its header; sorted names give the precedence.
 
