@@ -14,15 +14,15 @@ alone, so an edge can be taken when its rank comes up or never. ``late_pieces``
 vocabulary; words that hold one of them are merged where they are met.
 
 Texts never move. A task reports the distinct words of each shard of its texts; the cuts of the words go back
-as one dictionary per shard in the shared folder, where the second pass over the texts looks them up. Words
-beyond ``LONGEST`` characters or with a late piece, and words of a shard that was dealt otherwise the second time, are merged
+as one dictionary per shard in the shared folder, where the second pass over the texts looks them up. Both
+passes find words in arrays of code points and tell them apart by a 64-bit hash; a dictionary is a sorted array
+of hashes with the ids of each. Words beyond ``LONGEST`` characters or with a late piece, and words of a shard that was dealt otherwise the second time, are merged
 where they are met, with the same result."""
 
 from __future__ import annotations
 
 import heapq
 import math
-import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import chunks, spread
+from corpusflow.llm.common import chunks, prefix_sums, range_hash, spread
 from corpusflow.llm.warc import _store
 from corpusflow.session import scratch_path
 
@@ -43,17 +43,15 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 48
 SHARD_BYTES = 12 << 20
-CACHED_TOKENS = 100_000
-BUCKETS = 256
+CACHED_WORDS = 20_000
 
 
 @dataclass
 class Vocabulary:
-    """Piece to (rank, id), the id of byte 0, the pattern of words, and the bytes of every id."""
+    """Piece to (rank, id), the id of byte 0, and the bytes of every id."""
 
     pieces: dict[str, tuple[float, int]]
     byte0: int
-    pattern: str
     raw: list[bytes]
 
 
@@ -74,9 +72,7 @@ def read_vocabulary(path: str = MODEL) -> Vocabulary:
             raw.append(p.replace(MARK, " ").encode())
     if any(MARK in p.lstrip(MARK) for p in pieces):
         raise ValueError("a piece goes on behind a word mark; words can't be told apart")
-    joined = sorted({c for p in pieces if len(p) > 1 for c in p} - {MARK})
-    chars = "".join(re.escape(c) for c in joined)
-    return Vocabulary(pieces, byte0, f"{MARK}*[{chars}]+|{MARK}+|.", raw)
+    return Vocabulary(pieces, byte0, raw)
 
 
 def _parts(word: str, v: Vocabulary, below: float = math.inf) -> list[str]:
@@ -173,44 +169,67 @@ def _ids(word: str, cuts: int | None, v: Vocabulary) -> list[int]:
     return _spell([word[a:b] for a, b in zip([0, *ends], ends)], v)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list]]:
-    """Batch parts of bounded text size, the number of each (from its content), and its texts."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, list[tuple[int, int, np.ndarray, np.ndarray]]]]:
+    """Batch parts of bounded text size, the number of each (from its content), and its texts in smaller runs."""
     for batch in batches:
         for lo, hi, buf, offsets in chunks(batch, "text", SHARD_BYTES):
             part = batch.slice(lo, hi - lo)
-            yield part, xxhash.xxh64_intdigest(np.ascontiguousarray(buf), len(offsets)) >> 1, part.column(part.schema.get_field_index("text")).to_pylist()
+            yield part, xxhash.xxh64_intdigest(np.ascontiguousarray(buf), len(offsets)) >> 1, chunks(part, "text", 1 << 20)
 
 
-def _simple(text: str) -> bool:
-    """No blank beside another or in front, and no word mark: splitting at blanks finds the words."""
-    return not text.startswith(" ") and "  " not in text and MARK not in text
+class Cutter:
+    """Finds the words of texts: word marks go in front of characters that pieces join; others stand alone."""
 
+    def __init__(self, v: Vocabulary) -> None:
+        self.joined = np.zeros(0x110000, bool)
+        self.joined[[ord(c) for p in v.pieces if len(p) > 1 for c in p]] = True
+        self.joined[ord(MARK)] = False
 
-def _words(text: str, find) -> list[str]:
-    return find(MARK + text.replace(" ", MARK)) if text else []
+    def words(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of the texts with their marks, and of every word: start, end, hash, number of its text."""
+        raw, mark = buf.tobytes(), ord(MARK)
+        texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        points = np.frombuffer("".join([" " + t if t else "" for t in texts]).encode("utf-32-le"), np.uint32).copy()
+        points[points == 32] = mark
+        edges = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts])))
+        is_mark, joined = points == mark, self.joined[points]
+        start = ~(is_mark | joined)
+        start[1:] |= (is_mark[1:] & ~is_mark[:-1]) | (joined[1:] & ~(joined[:-1] | is_mark[:-1]))
+        start[edges[:-1][np.diff(edges) > 0]] = True
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(points))[:len(begin)]
+        return points, begin, end, range_hash(prefix_sums(points), begin, end), np.searchsorted(edges, begin, "right") - 1
 
 
-def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
-    """Encode the distinct words of ``docs``; returns the folder with one dictionary per shard."""
+def _strings(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[str]:
+    text = points.tobytes().decode("utf-32-le", "replace")
+    return [text[x:y] for x, y in zip(begin.tolist(), end.tolist())]
+
+
+def write_dictionaries(docs: DataFrame, v: Vocabulary) -> tuple[str, int]:
+    """Encode the distinct words of ``docs``; returns the folder with one dictionary per shard, and its sub-folders.
+
+    Folders grow in number with the texts, so that each holds about one dictionary. An empty table makes an empty
+    folder; equal texts share a dictionary or have equal ones."""
     spark = docs.sparkSession
-    pattern, late = v.pattern, late_pieces(v)
+    late = late_pieces(v)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, math.ceil(total / SHARD_BYTES))
+    shared = spark.sparkContext.broadcast(v)  # a vocabulary of fixed size
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = re.compile(pattern, re.S).findall
-        for _, shard, texts in _shards(batches):
-            seen: set[str] = set()
-            tokens: set[str] = set()
-            for t in texts:
-                if t and _simple(t):
-                    tokens.update(t.split(" "))
-                elif t:
-                    seen.update(_words(t, find))
-            for token in tokens:
-                seen.update(find(MARK + token))
-            own = [w for w in seen if len(w) <= LONGEST and not any(x in w for x in late)]
-            for lo in range(0, len(own), 50_000):
-                some = own[lo:lo + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(some), pa.int64()), pa.array(some, pa.string())], names=["shard", "word"])
+        cutter = Cutter(shared.value)
+        for _, shard, runs in _shards(batches):
+            seen = np.zeros(0, np.uint64)
+            for _, _, buf, offsets in runs:
+                points, begin, end, h, _ = cutter.words(buf, offsets)
+                short = end - begin <= LONGEST
+                h, first = np.unique(h[short], return_index=True)
+                new = ~np.isin(h, seen, assume_unique=True)
+                seen = np.union1d(seen, h[new])
+                own = _strings(points, begin[short][first[new]], end[short][first[new]])
+                own = [w for w in own if not any(x in w for x in late)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(own), pa.int64()), pa.array(own, pa.string())], names=["shard", "word"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, held, n = zstandard.ZstdCompressor(level=6), {}, 0
@@ -245,28 +264,44 @@ def write_dictionaries(docs: DataFrame, v: Vocabulary) -> str:
     coded = cut_words(words, v, F.col("n"))
     back = pairs.join(coded.hint("shuffle_hash"), "word", "left").select("shard", "word", "cuts").mapInArrow(pack, "shard long, words binary, cuts binary")
     path = scratch_path(spark)
-    (back.withColumn("bucket", F.pmod("shard", F.lit(BUCKETS))).repartition(spread(docs), "bucket")
+    (back.withColumn("bucket", F.pmod("shard", F.lit(buckets))).repartition(spread(docs), "bucket")
      .write.partitionBy("bucket").parquet(path))
-    return path
+    return path, buckets
 
 
-def _dictionary(path: str, shard: int) -> dict[str, int]:
-    """Word to its cuts for one shard, as far as it was written; 0 where every character stands alone."""
+Dictionary = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _dictionary(path: str, buckets: int, shard: int, v: Vocabulary, kind: np.dtype) -> Dictionary:
+    """Sorted hashes of the words of one shard, as far as it was written, where the ids of each begin, and the ids."""
     from pyarrow.fs import FileSelector
 
     files, root = _store(path)
-    out: dict[str, int] = {}
+    hashes, sizes, flat = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)]
     unpack = zstandard.ZstdDecompressor()
-    for info in files.get_file_info(FileSelector(f"{root}/bucket={shard % BUCKETS}", allow_not_found=True)):
+    for info in files.get_file_info(FileSelector(f"{root}/bucket={shard % buckets}", allow_not_found=True)):
         if not info.path.endswith(".parquet"):
             continue
         with files.open_input_file(info.path) as f:
             table = pq.read_table(f, filters=[("shard", "=", shard)])
-        for words, cuts in zip(table.column("words").to_pylist(), table.column("cuts").to_pylist()):
-            planes = np.frombuffer(unpack.decompress(cuts), np.uint8).reshape(8, -1)
+        for packed, cuts in zip(table.column("words"), table.column("cuts")):
+            text = unpack.decompress(packed.as_py()).decode()
+            planes = np.frombuffer(unpack.decompress(cuts.as_py()), np.uint8).reshape(8, -1)
             masks = np.ascontiguousarray(planes.T).view("<i8").ravel().tolist()
-            out.update(zip(unpack.decompress(words).decode().split(" "), masks))
-    return out
+            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            blanks = np.flatnonzero(points == 32)
+            begin, end = np.concatenate(([0], blanks + 1)), np.append(blanks, len(points))
+            hashes.append(range_hash(prefix_sums(points), begin, end))
+            own, count = array(kind.char), []
+            for word, mask in zip(text.split(" "), masks):
+                ids = _ids(word, mask or None, v)
+                own.extend(ids)
+                count.append(len(ids))
+            sizes.append(np.array(count, np.int64))
+            flat.append(np.frombuffer(own, kind))
+    h, size = np.concatenate(hashes), np.concatenate(sizes)
+    order = np.argsort(h)
+    return h[order], np.stack(((np.cumsum(size) - size)[order], size[order])), np.concatenate(flat)
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -275,49 +310,38 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     Null and empty texts have no ids. Rows are independent of each other; repeated rows have equal ids."""
     v = read_vocabulary(path)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    folder = write_dictionaries(docs, v)
+    folder, buckets = write_dictionaries(docs, v)
     shared = docs.sparkSession.sparkContext.broadcast(v)  # a vocabulary of fixed size
-    code = "H" if len(v.raw) <= 1 << 16 else "I"
-    kind = np.dtype(code)
+    kind = np.dtype("H" if len(v.raw) <= 1 << 16 else "I")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value
-        find = re.compile(vocabulary.pattern, re.S).findall
-        for part, shard, texts in _shards(batches):
-            known: dict[str, int | bytes] = _dictionary(folder, shard)  # cuts, until a word is met
-
-            def packed(words: list[str]) -> bytes:
-                for w in words:
-                    have = known.get(w)
-                    if type(have) is not bytes:
-                        ids = merge(w, vocabulary) if have is None else _ids(w, have or None, vocabulary)
-                        known[w] = array(code, ids).tobytes()
-                return b"".join([known[w] for w in words])
-
-            tokens: dict[str, bytes] = {}
-            for lo in range(0, len(texts), 256):
-                rows, size = [], []
-                for t in texts[lo:lo + 256]:
-                    if not t:
-                        raw = b""
-                    elif _simple(t):
-                        split = t.split(" ")
-                        try:
-                            raw = b"".join([tokens[x] for x in split])
-                        except KeyError:
-                            for x in split:
-                                if x not in tokens:
-                                    tokens[x] = packed(find(MARK + x))
-                            raw = b"".join([tokens[x] for x in split])
-                            if len(tokens) > CACHED_TOKENS:
-                                tokens.clear()
-                    else:
-                        raw = packed(_words(t, find))
-                    rows.append(raw)
-                    size.append(len(raw) // kind.itemsize)
-                flat = np.frombuffer(b"".join(rows), kind).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, len(rows)), ids, pa.array(size, pa.int64())], names=["doc_id", "ids", "n_tokens"])
+        vocabulary, merged = shared.value, {}
+        cutter = Cutter(vocabulary)
+        for part, shard, runs in _shards(batches):
+            known, place, flat = _dictionary(folder, buckets, shard, vocabulary, kind)
+            for lo, hi, buf, offsets in runs:
+                points, begin, end, h, doc = cutter.words(buf, offsets)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                there = known[at] == h if len(known) else np.zeros(len(h), bool)
+                first, size = (np.where(there, x[at], 0) if len(known) else np.zeros(len(h), np.int64) for x in place)
+                # words that no dictionary holds are merged here
+                rest = np.flatnonzero(~there)
+                more, ids = array(kind.char), flat
+                for k, word in zip(rest.tolist(), _strings(points, begin[rest], end[rest]) if len(rest) else []):
+                    found = merged.get(word)
+                    if found is None:
+                        found = merge(word, vocabulary)
+                        if len(merged) < CACHED_WORDS and len(word) <= LONGEST:
+                            merged[word] = found
+                    first[k], size[k] = len(flat) + len(more), len(found)
+                    more.extend(found)
+                if more:
+                    ids = np.concatenate((flat, np.frombuffer(more, kind)))
+                upto = np.cumsum(size)
+                gather = np.repeat(first - (upto - size), size) + np.arange(int(size.sum()))
+                count = np.bincount(doc, weights=size, minlength=hi - lo).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(ids[gather].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), lists, pa.array(count)], names=["doc_id", "ids", "n_tokens"])
 
     return docs.mapInArrow(look_up, "doc_id long, ids array<int>, n_tokens long")
 
