@@ -264,7 +264,8 @@ def _frequent(docs: DataFrame, words: int, most: int = 500_000) -> np.ndarray:
 
 
 def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """Columns of ``docs`` but the text, and digest ``sig``, number ``n`` and ``keys`` of its shingles.
+    """Columns of ``docs`` but the text, and digest ``sig``, number ``n`` and ``keys`` of its shingles; of equal
+    texts in a task only the first has its keys, the others null.
 
     In an order that all texts share, two texts of similarity p / q have a shingle in common among the first
     n - ceil(n * p / q) + 1 of each. These are the keys; frequent shingles come last in the order."""
@@ -272,6 +273,7 @@ def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             rest = batch.select(others)
             for lo, hi, buf, offsets in chunks(batch, "text", 1 << 20):
@@ -282,16 +284,21 @@ def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
                 h = h[np.lexsort((h, late, of))]
                 pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 length = np.where(n > 0, n - -(-n * p // q) + 1, 0)
+                again = np.array([x in met or met.add(x) is not None for x in sig.tolist()], bool)
+                length[again] = 0
+                keys = _lists(h[pos < length[of]], length)
+                keys = pa.ListArray.from_arrays(keys.offsets, keys.values, mask=pa.array(again))
                 yield pa.RecordBatch.from_arrays(
-                    [*rest.slice(lo, hi - lo).columns, pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)),
-                     _lists(h[pos < length[of]], length)], names=[*others, "sig", "n", "keys"])
+                    [*rest.slice(lo, hi - lo).columns, pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), keys],
+                    names=[*others, "sig", "n", "keys"])
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
     return docs.select(*others, "text").mapInArrow(run, f"{schema}, sig long, n int, keys array<long>")
 
 
-#: Texts of one key up to which all pairs are candidates at once.
-SMALL = 64
+#: Texts of one key up to which all pairs are candidates at once. Larger keys first yield some pairs a text, and
+#: later only pairs that are still in different components.
+SMALL = 8
 
 
 def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
@@ -303,6 +310,7 @@ def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
     h, n, pos, sig = get("h"), get("n").astype(np.int64), get("pos").astype(np.int64), get("sig")
     root = get("root") if later else sig
     order = np.lexsort((sig, n, h))
+    order = order[np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (sig[order][1:] != sig[order][:-1])))[:len(order)]]  # copies of other tasks
     h, n, pos, sig, root = h[order], n[order], pos[order], sig[order], root[order]
     cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     size = np.diff(np.append(cut, len(h)))
@@ -341,9 +349,11 @@ def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
                      "b": pa.array(np.concatenate((b, names)), mask=np.arange(len(a) + len(names)) >= len(a))})
 
 
-def similar(docs: DataFrame, distinct: DataFrame, words: int, p: int, q: int) -> DataFrame:
-    """(node, root): components of the digests ``sig`` over all pairs of similarity p / q or more."""
-    rows = distinct.select("sig", "n", F.posexplode("keys").alias("pos", "h"))
+def similar(docs: DataFrame, keyed: DataFrame, distinct: DataFrame, words: int, p: int, q: int) -> DataFrame:
+    """(node, root): components of the digests ``sig`` over all pairs of similarity p / q or more.
+
+    ``keyed`` has the keys of each digest at least once, ``distinct`` a document of each."""
+    rows = keyed.filter("keys IS NOT NULL").select("sig", "n", F.posexplode("keys").alias("pos", "h"))
     small = SMALL
     buckets = F.pmod(F.xxhash64("h"), F.lit(16 * spread(docs))).alias("bucket")
 
@@ -388,8 +398,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
     whole = F.xxhash64(*docs.columns)
     part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"), "text")
     rows = settle(shingle_keys(part, words, p, q)).withColumn("id", F.struct("doc_id", "_row"))
-    distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    of = settle(distinct.select("sig", "low").join(similar(part, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
+    distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low")))
+    of = settle(distinct.join(similar(part, rows, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
                 .select("sig", "low", F.coalesce("root", "sig").alias("root")))
     keep = settle(rows.groupBy("id").agg(F.count("*").alias("_rows"))
                   .join(of.groupBy("root").agg(F.min("low").alias("id")).select("id"), "id", "left_semi")
