@@ -24,7 +24,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,8 @@ CHUNK = 64 << 10
 STRETCH = 4 << 10
 FAN = 16
 BLOCK_PAIRS = 1 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
+ENCODED = 8192
 
 #: Both tokenizers begin anew in front of a blank or line break between two other characters.
 _ANEW = re.compile(r"(?<=\S)[ \n](?=\S)")
@@ -214,13 +215,14 @@ def aligned(raws: list[bytes], t: Tokenizers) -> list[Fragment]:
         of += [known.setdefault(x, len(known)) for x in parts]
         sizes.append(len(parts))
     pieces = list(known)
-    ids_a, ids_b = t.encode(pieces) if pieces else ([], [])
-    raw_pieces = [x.encode() for x in pieces]
-    fits = np.array([b"".join(map(t.raw_a.__getitem__, a)) == x == b"".join(map(t.raw_b.__getitem__, b))
-                     for a, b, x in zip(ids_a, ids_b, raw_pieces)], bool)
-    ids_a, ids_b = ([x if f else [] for x, f in zip(ids, fits)] for ids in (ids_a, ids_b))
-    n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
-    a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+    found = [([], [], [], [], [])]
+    for lo in range(0, len(pieces), ENCODED):  # what the tokenizers return is large
+        some = pieces[lo:lo + ENCODED]
+        ids_a, ids_b = t.encode(some)
+        fit = [b"".join(map(t.raw_a.__getitem__, a)) == x.encode() == b"".join(map(t.raw_b.__getitem__, b)) for a, b, x in zip(ids_a, ids_b, some)]
+        ids_a, ids_b = ([x if f else [] for x, f in zip(ids, fit)] for ids in (ids_a, ids_b))
+        found.append((fit, *([len(x) for x in ids] for ids in (ids_a, ids_b)), *(np.fromiter(chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))))
+    fits, n_a, n_b, a, b = (np.concatenate(x).astype(k) for x, k in zip(zip(*found), (bool, *(np.int64,) * 4)))
     ends_a, ends_b = np.cumsum(t.len_a[a]), np.cumsum(t.len_b[b])
     common = np.intersect1d(ends_a, ends_b, assume_unique=True)
     na, nb = (np.bincount(np.searchsorted(common, e), minlength=len(common)) for e in (ends_a, ends_b))
