@@ -903,7 +903,7 @@ def core_tail_select(spark, root):
 @query("t05_head_per_file", """
 SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 9""")
 def head_per_file(spark, root):
-    return sm.head_per_file(documents(spark, root), 9, ["source"], "doc_id", 16).select("doc_id", "source")
+    return sm.head_per_file(documents(spark, root), 9, ["source"], "doc_id").select("doc_id", "source")
 
 
 @query("t06_recent_n", f"""

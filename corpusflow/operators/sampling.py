@@ -74,9 +74,12 @@ def core_tail_select(scored: DataFrame, n: int, seed: int, key: Column, score: s
     return picked.drop("_key", "_s")
 
 
-def head_per_file(df: DataFrame, n: int, group: list[str], order: str = "row_idx", width: int = 1) -> DataFrame:
-    """First ``n`` rows of each source by a non-negative integer position."""
-    bucket = F.floor(F.col(order) / F.lit(max(1, width)))
+def head_per_file(df: DataFrame, n: int, group: list[str], order: str = "row_idx") -> DataFrame:
+    """First ``n`` rows of each source by a non-negative integer position.
+
+    Positions are counted in steps of their logarithm: some 16,000 at most, whatever the length of a source, and
+    the one that holds the border spans a few thousandths of the rows before it."""
+    bucket = F.floor(F.log2(F.col(order) + F.lit(1.0)) * 256)
     return take_first(df, n, [F.col(order)], bucket, group)
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.session import settle
+
 CHUNK_ROWS = 50_000
 
 
@@ -160,10 +162,11 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
 
     ``bucket`` is a coarse version of the leading order column (smaller comes first, at most
     some 10^5 values). A histogram tells which bucket holds the n-th row; later buckets drop out
-    during the scan. Without a group the rest is a bounded top-n. With groups, earlier buckets
-    are certain and only the border bucket is decided by rank; groups need an order whose
-    buckets stay small, such as a hash or a position. ``n`` may be a column of ``df`` that is
-    constant per group, ``most`` then is its upper bound."""
+    during the scan, rows of earlier ones are in without a rank. Without a group and for an ``n`` beyond
+    ``SMALL_BORDER`` the border bucket is split by ranges of the order until what is left to rank is small.
+    With groups the border bucket is decided by rank; groups need an order whose buckets stay small, such as a
+    hash or a position. ``n`` may be a column of ``df`` that is constant per group, ``most`` then is its upper
+    bound."""
     group = list(group)
     size = F.lit(n) if isinstance(n, int) else n
     bound = n if isinstance(n, int) else most
@@ -175,9 +178,15 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
     earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     cut = hist.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).filter(
         F.col("_before") < F.col("_q"))
-    if not group:
+    if not group and bound <= SMALL_BORDER:
         last = cut.agg(F.max("_b").alias("_cut"))
         return src.filter(F.col("_b") <= last.scalar()).orderBy(*order).limit(bound).select(*df.columns)
+    if not group:
+        last = cut.agg(F.max("_b").alias("b"), F.max_by(F.least("_q", F.lit(bound)) - F.col("_before"), "_b").alias("need")).first()
+        if last["b"] is None:
+            return df.limit(0)
+        sure, border = src.filter(F.col("_b") < last["b"]), src.filter(F.col("_b") == last["b"])
+        return sure.select(*df.columns).unionByName(_first_of(border.select(*df.columns), order, last["need"]))
     cut = cut.groupBy(*group).agg(
         F.max("_b").alias("_cut"), F.max_by(F.col("_q") - F.col("_before"), "_b").alias("_need"))
     near = src.join(cut, group).filter(F.col("_b") <= F.col("_cut"))
@@ -189,6 +198,36 @@ def take_first(df: DataFrame, n: int | Column, order: list[Column], bucket: Colu
     return out.filter(inside).select(*df.columns)
 
 
+#: Rows that one task may order.
+SMALL_BORDER = 100_000
+
+
+def _first_of(df: DataFrame, order: list[Column], need: int, small: int | None = None) -> DataFrame:
+    """First ``need`` rows: whole ranges of the order, and what is left out of one range, split again while large."""
+    small = small or SMALL_BORDER
+    parts, out = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
+    while need > small:
+        # the written copy fixes which row lies in which range
+        dealt = settle(df.repartitionByRange(max(2, parts), *order).withColumn("_range", F.spark_partition_id()))
+        seen, last = 0, None
+        for r in dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+            if seen + r["n"] > need:
+                last = r["_range"]
+                break
+            seen += r["n"]
+        inside = dealt.filter(F.col("_range") < last) if last is not None else dealt
+        inside = inside.drop("_range")
+        out = inside if out is None else out.unionByName(inside)
+        if last is None or seen == need:
+            return out
+        border = dealt.filter(F.col("_range") == last).drop("_range")
+        if not seen and last == 0 and dealt.filter("_range > 0").isEmpty():
+            break  # ranges can't split it: rows that are equal in the order
+        df, need = border, need - seen
+    rest = df.orderBy(*order).limit(need)
+    return rest if out is None else out.unionByName(rest)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only after counting rows and bytes; else leave the join to Spark."""
     width = F.length(F.to_json(F.struct(*df.columns)))

@@ -46,7 +46,7 @@ def pairs_from_events(events: DataFrame, now: Column | None = None) -> DataFrame
 
 def seed_pairs(rows: DataFrame, most: int, now: Column) -> DataFrame:
     """Training rows as one-exchange conversations, the first ``most`` rows of each dataset."""
-    head = head_per_file(rows, most, ["dataset"], width=1000)
+    head = head_per_file(rows, most, ["dataset"])
     return head.select(
         F.concat_ws("_", F.lit("csv"), "dataset", (F.col("row_idx") + 1).cast("string")).alias("conv_id"),
         (F.col("row_idx") + 1).alias("line"), now.alias("ts"), F.lit("seed_csv").alias("user_id"),

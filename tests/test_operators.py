@@ -143,7 +143,20 @@ def test_quota_against_loop(spark, root):
     assert len({w[1] for w in want}) == 3
 
 
-def test_session_summary_against_loop(spark, tiny_chunks):
+def clipped(text, limit):
+    return text if len(text) <= limit else text[:limit - 1].rstrip() + "…"
+
+
+def plain_summary(previous, bullets, tail, cap):
+    parts = ["Resume precedent: " + clipped(previous, 260)] if previous else []
+    parts += ["Points cles: - " + " - ".join(bullets)] if bullets else []
+    whole = " ".join((clipped(" ".join(parts), cap) + " " + " ".join(tail)).split())
+    head = int(cap * 0.55)
+    return whole if len(whole) <= cap else whole[:head].rstrip() + " ... " + whole[len(whole) - (cap - head - 5):].lstrip()
+
+
+@pytest.mark.parametrize("cap", [1400, 420, 90])
+def test_session_summary_against_loop(spark, tiny_chunks, cap):
     rnd = random.Random(5)
     lexicon = ["pipeline", "je veux", "rien", "voici", "texte " * 30, "api", "objectif"]
     told = [("s", i, f"{rnd.choice(lexicon)} u{rnd.randint(0, 40)}", f"{rnd.choice(lexicon)} a{i}") for i in range(240)]
@@ -153,23 +166,23 @@ def test_session_summary_against_loop(spark, tiny_chunks):
     for n, (_, _, user, reply) in enumerate(told, 1):
         u, a = " ".join(user.split()), " ".join(reply.split())
         if re.search(lx.SUMMARY_TECH, u.lower()):
-            points.append("Demande technique: " + sessions._cut(u, 170))
+            points.append("Demande technique: " + clipped(u, 170))
         elif re.search(lx.SUMMARY_INTENT, u.lower()):
-            points.append("Intention utilisateur: " + sessions._cut(u, 170))
+            points.append("Intention utilisateur: " + clipped(u, 170))
         if re.search(lx.SUMMARY_COMMITMENT, a.lower()):
-            points.append("Engagement assistant: " + sessions._cut(a, 170))
+            points.append("Engagement assistant: " + clipped(a, 170))
         if n % 4 == 0:
             seen, unique = set(), []
-            for b in points + ["Derniere demande: " + sessions._cut(u, 170), "Derniere reponse: " + sessions._cut(a, 170)]:
+            for b in points + ["Derniere demande: " + clipped(u, 170), "Derniere reponse: " + clipped(a, 170)]:
                 if b.lower() not in seen:
                     seen.add(b.lower())
                     unique.append(b)
             tail = [x for _, _, p, q in told[max(0, n - 3):n] for x in ("Utilisateur: " + p, "Assistant: " + q)]
-            previous = sessions.summary_text(previous, "", unique[:8], tail, 1400)
+            previous = plain_summary(previous, unique[:8], tail, cap)
             want.append((n // 4, previous))
     df = spark.createDataFrame(told, "session_id string, pos bigint, user_text string, assistant_text string")
     for size in (1000, 23):
-        got = sessions.session_summary(df, 4, 1400, {"prenom": F.lit(None).cast("string")}, steps_per_chunk=size)
+        got = sessions.session_summary(df, 4, cap, {"prenom": F.lit(None).cast("string")}, steps_per_chunk=size)
         assert rows(got, "step", "summary") == want
 
 
