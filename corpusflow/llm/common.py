@@ -18,16 +18,20 @@ _SPACE[list(SPACES)] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Entries of a power table that a worker keeps; longer ones, for very long texts, are made anew.
+KEPT_POWERS = 1 << 21
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64, kept and grown."""
+    """1, base, base^2, ... modulo 2^64, kept and grown up to a bound."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
         made = np.full(size, base, np.uint64)
         made[0] = 1
-        _powers[base] = have = np.multiply.accumulate(made)
+        have = np.multiply.accumulate(made)
+        if size <= KEPT_POWERS or base not in _powers:
+            _powers[base] = have[:KEPT_POWERS].copy() if size > KEPT_POWERS else have
     return have[:n]
 
 

@@ -44,6 +44,7 @@ MARK = "▁"
 LONGEST = 48
 SHARD_BYTES = 12 << 20
 CACHED_WORDS = 20_000
+SLICE = 20_000
 
 
 @dataclass
@@ -285,20 +286,23 @@ def _dictionary(path: str, buckets: int, shard: int, v: Vocabulary, kind: np.dty
         with files.open_input_file(info.path) as f:
             table = pq.read_table(f, filters=[("shard", "=", shard)])
         for packed, cuts in zip(table.column("words"), table.column("cuts")):
-            text = unpack.decompress(packed.as_py()).decode()
+            raw = unpack.decompress(packed.as_py())
             planes = np.frombuffer(unpack.decompress(cuts.as_py()), np.uint8).reshape(8, -1)
-            masks = np.ascontiguousarray(planes.T).view("<i8").ravel().tolist()
-            points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            blanks = np.flatnonzero(points == 32)
-            begin, end = np.concatenate(([0], blanks + 1)), np.append(blanks, len(points))
-            hashes.append(range_hash(prefix_sums(points), begin, end))
-            own, count = array(kind.char), []
-            for word, mask in zip(text.split(" "), masks):
-                ids = _ids(word, mask or None, v)
-                own.extend(ids)
-                count.append(len(ids))
-            sizes.append(np.array(count, np.int64))
-            flat.append(np.frombuffer(own, kind))
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), len(raw))
+            for lo in range(0, len(ends), SLICE):
+                hi = min(lo + SLICE, len(ends))
+                text = raw[ends[lo - 1] + 1 if lo else 0:ends[hi - 1]].decode()
+                points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                blanks = np.flatnonzero(points == 32)
+                hashes.append(range_hash(prefix_sums(points), np.concatenate(([0], blanks + 1)), np.append(blanks, len(points))))
+                masks = np.ascontiguousarray(planes[:, lo:hi].T).view("<i8").ravel().tolist()
+                own, count = array(kind.char), []
+                for word, mask in zip(text.split(" "), masks):
+                    ids = _ids(word, mask or None, v)
+                    own.extend(ids)
+                    count.append(len(ids))
+                sizes.append(np.array(count, np.int64))
+                flat.append(np.frombuffer(own, kind))
     h, size = np.concatenate(hashes), np.concatenate(sizes)
     order = np.argsort(h)
     return h[order], np.stack(((np.cumsum(size) - size)[order], size[order])), np.concatenate(flat)
