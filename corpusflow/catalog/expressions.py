@@ -312,7 +312,17 @@ def low_quality_answer(spark, root):
         "conv_id", "turn", lb.low_quality_answer("text", "space", BAD, ["the of"]).alias("low"))
 
 
-@query("p18_low_quality_chat")
+def sql_sentences(x: str) -> str:
+    """Split behind . ! ? and blanks: the place is marked, as there is no look-behind."""
+    return f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query("p18_low_quality_chat", f"""
+WITH t AS (SELECT conv_id, turn, {norm('text')} AS v FROM conversations),
+p AS (SELECT *, list_filter({sql_sentences('v')}, lambda x: x <> '') AS parts FROM t)
+SELECT conv_id, turn, v = '' OR {has('v', BAD)} OR regexp_matches(v, '{lx.UNSTABLE_PATTERN.replace(chr(39), chr(39) * 2)}')
+  OR (len(parts) >= 2 AND len(list_distinct(parts)) < len(parts)) OR v = 'the of'
+  OR (len(string_split(v, 'je ne')) >= 3 AND contains(v, 'je veux dire')) AS low FROM p""")
 def low_quality_chat(spark, root):
     return conversations(spark, root).select(
         "conv_id", "turn", lb.low_quality_answer("text", "chat", BAD, ["the of"]).alias("low"))
@@ -552,14 +562,15 @@ def mask_placeholders(spark, root):
 
 
 @query("p29_parse_dialog", f"""
-WITH n AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)),
-  lambda l: {_sql_clean("replace(replace(l, chr(34), ''), chr(39), '')")} <> '')) AS n FROM documents)
-SELECT doc_id, CASE WHEN n >= 2 THEN n ELSE 0 END AS turns FROM n""")
+WITH n AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
+  lambda l: {_sql_clean("replace(replace(l, chr(34), ''), chr(39), '')")}), lambda l: l <> '') AS n FROM documents)
+SELECT doc_id, CASE WHEN len(n) >= 2 THEN len(n) ELSE 0 END AS turns, CASE WHEN len(n) >= 2 THEN array_to_string(n, chr(10)) ELSE '' END AS said FROM n""")
 def parse_dialog(spark, root):
     """Every document written as a list of its quoted lines, then read back."""
     plain = F.translate("text", "\"'", "")
     lit = F.concat(F.lit("['"), F.array_join(F.split(plain, "\n"), "' '"), F.lit("']"))
-    return documents(spark, root).select("doc_id", F.size(tx.parse_dialog(lit)).alias("turns"))
+    told = documents(spark, root).select("doc_id", tx.parse_dialog(lit).alias("t"))
+    return told.select("doc_id", F.size("t").alias("turns"), F.array_join("t", "\n").alias("said"))
 
 
 @query("p30_first_text_column", f"""
@@ -596,7 +607,11 @@ def cap_token_runs(spark, root):
     return documents(spark, root).select("doc_id", tx.cap_token_runs(tx.collapse("text")).alias("capped"))
 
 
-@query("p32_degeneration_cleanup")
+@query("p32_degeneration_cleanup", f"""
+WITH a AS (SELECT doc_id, {sql_sentences(collapse('text'))} AS s FROM documents),
+b AS (SELECT doc_id, string_split(array_to_string(list_filter(s, lambda x, i: i = 1 OR lower(x) <> lower(s[i - 1])), ' '), ' ') AS t FROM a),
+c AS (SELECT doc_id, array_to_string(list_filter(t, lambda x, i: i <= 2 OR lower(x) <> lower(t[i - 1]) OR lower(x) <> lower(t[i - 2])), ' ') AS v FROM b)
+SELECT doc_id, CASE WHEN v = '' OR regexp_matches(v, '[.!?]$') THEN v ELSE v || '.' END AS clean FROM c""")
 def degeneration_cleanup(spark, root):
     return documents(spark, root).select("doc_id", tx.degeneration_cleanup("text").alias("clean"))
 
@@ -614,7 +629,10 @@ def restyle(spark, root):
         "doc_id", *[tx.restyle("text", m).alias(m) for m in ("concis", "pedagogique", "expert", "formal")])
 
 
-@query("p33_restyle_bullet")
+@query("p33_restyle_bullet", f"""
+WITH v AS (SELECT doc_id, {collapse('text')} AS v FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_filter({sql_sentences('v')}, lambda x: x <> ''), lambda x: '- ' || x), chr(10)) AS bullet,
+  regexp_replace(regexp_replace(v, '(?i)\\bimplementation\\b', 'mise en place', 'g'), '(?i)\\barchitecture\\b', 'organisation', 'g') AS simple FROM v""")
 def restyle_bullet(spark, root):
     return documents(spark, root).select(
         "doc_id", tx.restyle("text", "bullet").alias("bullet"), tx.restyle("text", "simple").alias("simple"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.catalog.base import (
-    SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, SQL_REPEATED, chat_events, conversations, doc_rows, documents, has,
+    SQL_CHAT, SQL_DOCS, SQL_EVENTS, SQL_PAIRS, SQL_REPEATED, chat_events, conversations, doc_rows, documents, has, toks,
     norm, pairs, query, repeated_rows, strip, words,
 )
 from corpusflow.catalog.expressions import (
@@ -316,7 +316,14 @@ def ingest_manifest(spark, root):
     return se.build_web_chunks(p, allowed(spark), 500, 100, 0, p.filter("page_id % 50 = 0"))[1]
 
 
-@query("c05_split_paragraph_chunks")
+@query("c05_split_paragraph_chunks", f"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: {strip('l')}), lambda l: l <> '') AS ps FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda x: {{'done': []::VARCHAR[], 'buf': x, 'used': length(x)}}),
+  lambda a, b: CASE WHEN a.used + b.used > 480 THEN {{'done': list_append(a.done, a.buf), 'buf': b.buf, 'used': b.used}}
+    ELSE {{'done': a.done, 'buf': a.buf || chr(10) || chr(10) || b.buf, 'used': a.used + b.used}} END) AS r FROM p WHERE len(ps) > 0),
+c AS (SELECT doc_id, list_append(r.done, r.buf) AS cs FROM r),
+n AS (SELECT doc_id, unnest(generate_series(1, len(cs))) AS chunk, unnest(cs) AS text FROM c)
+SELECT * FROM n WHERE len({toks('text')}) > 0""")
 def split_paragraph_chunks(spark, root):
     """Document lines as paragraphs."""
     d = documents(spark, root).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -433,9 +440,7 @@ v AS (SELECT doc_id, trim(regexp_replace(CASE WHEN lo < 0.40 THEN lower(q3) ELSE
 r AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(instruction), '\\s+', ' ', 'g')) ORDER BY doc_id) AS c FROM v) SELECT doc_id, instruction FROM r WHERE c = 1""")
 def question_variants(spark, root):
     rows = documents(spark, root).select("doc_id", F.col("text").alias("q"))
-    noisy = rows.withColumn("instruction", tx.collapse(sy.noisy_variant(F.col("q"), F.col("doc_id").cast("string"), [("the", "th"), ("of", "o")])))
-    from corpusflow.operators.dedupe import first_wins_dedupe
-    return first_wins_dedupe(noisy, [tx.collapse(F.lower("instruction"))], ["doc_id"]).select("doc_id", "instruction")
+    return sy.question_variants(rows, "q", "doc_id", [("the", "th"), ("of", "o")]).select("doc_id", "instruction")
 
 
 @query("c11_remediation_from_failures", f"""
@@ -455,10 +460,29 @@ def source_guard(spark, root):
     return ov.forbidden_rows(documents(spark, root), ["src7", "src1"]).select("doc_id", "source")
 
 
-@query("c16_promotion_history")
+SQL_RUNS = """e AS (SELECT *, CAST(json_extract(props, '$.k') AS DOUBLE) / 100.0::DOUBLE AS k FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY run_at) AS i,
+  score * 0.40::DOUBLE + pass * 0.20::DOUBLE + f1 * 0.25::DOUBLE + kw * 0.10::DOUBLE + exact * 0.05::DOUBLE AS composite
+  FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'global' ELSE 'question' END AS lane, strftime(ts, '%Y-%m-%d %H') AS run_at, round(avg(k), 6) AS f1,
+    round(max(k), 6) AS score, round(min(k), 6) AS q, round(avg((event_type = 'view')::INTEGER), 6) AS pass, round(avg((event_type = 'click')::INTEGER), 6) AS exact,
+    round(avg((event_type = 'purchase')::INTEGER), 6) AS mem, round(avg((event_type = 'signup')::INTEGER), 6) AS kw FROM e GROUP BY ALL))"""
+
+
+@query("c16_promotion_history", f"""
+WITH RECURSIVE {SQL_RUNS}, run AS (SELECT lane, i, run_at, composite, 'first_best' AS reason, composite AS bc, score AS bs, pass AS bp, q AS bq, mem AS bm FROM r WHERE i = 1
+  UNION ALL SELECT lane, i, run_at, composite, reason, CASE WHEN up THEN composite ELSE bc END, CASE WHEN up THEN score ELSE bs END,
+    CASE WHEN up THEN pass ELSE bp END, CASE WHEN up THEN q ELSE bq END, CASE WHEN up THEN mem ELSE bm END
+  FROM (SELECT *, reason = 'composite_improved' AS up FROM (SELECT r.*, bc, bs, bp, bq, bm, CASE WHEN mem + 1e-9::DOUBLE < bm THEN 'memory_regression'
+    WHEN r.lane = 'global' AND score + 0.005::DOUBLE + 1e-9::DOUBLE < bs THEN 'score_regression_too_high'
+    WHEN r.lane = 'global' AND pass + 0.02::DOUBLE + 1e-9::DOUBLE < bp THEN 'pass_rate_regression_too_high'
+    WHEN q + 0.05::DOUBLE + 1e-9::DOUBLE < bq THEN 'question_recognition_regression_too_high'
+    WHEN r.composite > bc + 0.001::DOUBLE THEN 'composite_improved' ELSE 'no_significant_improvement' END AS reason
+    FROM run p JOIN r ON r.lane = p.lane AND r.i = p.i + 1)))
+SELECT lane, run_at, reason IN ('first_best', 'composite_improved') AS accepted, reason FROM run""")
 def promotion_history(spark, root):
     """Daily averages per event type as evaluation runs of two lanes."""
-    return ev.promotion_history(eval_runs(spark, root), ev.PromotionPolicy(min_improvement=0.001))
+    runs = ev.promotion_history(eval_runs(spark, root), ev.PromotionPolicy(min_improvement=0.001))
+    return runs.select("lane", "run_at", "accepted", "reason")
 
 
 def eval_runs(spark, root) -> DataFrame:

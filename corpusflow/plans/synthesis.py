@@ -81,9 +81,9 @@ def noisy_variant(question: Column, seed: Column, rules: list[tuple[str, str]] |
     return F.when(chance("lower", 0.40), F.lower(out)).otherwise(out)
 
 
-def question_variants(rows: DataFrame, question: str, seed: str) -> DataFrame:
+def question_variants(rows: DataFrame, question: str, seed: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """One noisy instruction per row, distinct after normalising, in text order."""
-    made = rows.withColumn("instruction", collapse(noisy_variant(F.col(question), F.col(seed).cast("string"))))
+    made = rows.withColumn("instruction", collapse(noisy_variant(F.col(question), F.col(seed).cast("string"), rules)))
     return first_wins_dedupe(made, [collapse(F.lower("instruction"))], [seed]).orderBy("instruction")
 
 

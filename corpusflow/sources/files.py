@@ -12,6 +12,9 @@ from corpusflow.functions.text import (
     clean_text, first_text, list_literal, parse_dialog, strip, text_of,
 )
 
+from corpusflow.operators.scan import chunk_of, running_sum
+from corpusflow.session import settle
+
 DELIMITER = " +++$+++ "
 PAIR_COLUMNS = [
     "conversation_id", "turn_index", "movie_id", "movie_title", "movie_year", "genres",
@@ -19,7 +22,6 @@ PAIR_COLUMNS = [
     "listener_gender", "prompt_en", "response_en", "source_dataset", "is_pretranslated_fr",
 ]
 TRAINING_COLUMNS = ["instruction", "response", "history", "source"]
-MAX_PAIR_CHARS = 300
 
 
 # --- files -----------------------------------------------------------------
@@ -86,17 +88,46 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, on_ba
     return good.select(*[F.col(f"r.{c}") for c in schema.names if c != "_corrupt_record"])
 
 
+CSV = {"quote": '"', "escape": '"'}
+LINES_PER_CHUNK = 50_000
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, number): the records of CSV files without their headers, numbered in file order from 0.
+
+    A line break inside quotes is told by the quotes before it: their number is a sum over the lines of a file,
+    taken in chunks and shifted by one row per chunk, so a file of any size is read by all its splits. Quotes
+    inside a field have to be doubled, as CSV demands; a stray one would join lines."""
+    lines = with_row_index(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")), "line")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = settle(lines.withColumns({"chunk": chunk_of("line", LINES_PER_CHUNK), "quotes": quotes}))
+    upto = running_sum(lines, ["path"], ["line"], "chunk", F.col("quotes"), "seen")
+    inside = (F.col("seen") - F.col("quotes")) % 2 == 1
+    kept = upto.filter(inside | (F.col("value") != "")).withColumn("begins", (~inside).cast("int"))
+    numbered = running_sum(kept, ["path"], ["line"], "chunk", F.col("begins"), "number")
+    whole = numbered.groupBy("path", "number").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("parts"))
+    files = numbered.groupBy("path").agg((F.max("number") - 1).alias("records"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = files.select("path", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("base"))
+    text = F.array_join(F.transform("parts", lambda x: x["value"]), "\n")
+    return whole.filter("number > 1").join(files, "path").select(text.alias("record"), (F.col("base") + F.col("number") - 2).alias("number"))
+
+
 def read_pairs_csv(spark: SparkSession, path: str, indexed: bool = True) -> DataFrame:
     """Header CSV, every column a string; a missing file is an empty table.
 
-    Quoted line breaks need one task per file; large tables should come as many files."""
+    Files with line breaks inside quotes are read by all their splits too (``csv_records``)."""
     if not exists(spark, path):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in TRAINING_COLUMNS) + ", row_idx bigint")
-    opts = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
-    head = spark.read.options(**opts).option("inferSchema", False).csv(path)
-    strings = T.StructType([T.StructField(c, T.StringType()) for c in head.columns])
-    df = spark.read.options(**opts).schema(strings).csv(path)
-    return with_row_index(df) if indexed else df
+    head = spark.read.options(header=True, multiLine=True, inferSchema=False, **CSV).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in head.columns])
+    odd = spark.read.text(path).filter((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1)
+    if odd.isEmpty():  # no quote stays open at the end of a line
+        df = spark.read.options(header=True, **CSV).schema(schema).csv(path)
+        return with_row_index(df) if indexed else df
+    fields = F.lit(", ".join(f"`{c}` string" for c in schema.names))
+    rows = csv_records(spark, path).select(F.from_csv("record", fields, CSV).alias("r"), "number")
+    return rows.select("r.*", F.col("number").alias("row_idx")) if indexed else rows.select("r.*")
 
 
 def read_lines(spark: SparkSession, path: str, comments: bool = True) -> DataFrame:

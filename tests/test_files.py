@@ -99,3 +99,30 @@ def test_scratch_follows_the_cluster():
     class Named:
         conf = {"spark.checkpoint.dir": "/shared/x/"}
     assert scratch_path(Named).startswith("/shared/x/run-")
+
+
+def test_csv_with_quoted_breaks_is_read_by_its_splits(spark, tmp_path, monkeypatch):
+    import csv
+    import random
+
+    from corpusflow.sources import files
+    rng = random.Random(8)
+    bits = ["plain", "a,b", 'say ""', "two\nlines", "\n\nx", "é", "", "end\n", '"', " "]
+    rows = [["".join(rng.choice(bits) for _ in range(rng.randint(0, 4))) for _ in range(3)] for _ in range(1500)]
+    rows = [[c or "z" for c in r] for r in rows]
+    for k in range(2):
+        with open(tmp_path / f"part{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["instruction", "response", "note"])
+            w.writerows(rows[k * 700:700 if k == 0 else None])
+    monkeypatch.setattr(files, "LINES_PER_CHUNK", 97)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.read_pairs_csv(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert [tuple(r) for r in got.orderBy("row_idx").collect()] == [(*r, i) for i, r in enumerate(rows)]
+        opts = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+        one_task = sorted(map(repr, spark.read.options(**opts).csv(str(tmp_path)).collect()))
+        assert sorted(map(repr, got.drop("row_idx").collect())) == one_task
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
