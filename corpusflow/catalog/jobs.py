@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -397,7 +399,7 @@ def select_signature(spark, root):
 # --- synthesis -------------------------------------------------------------
 def _slots(spark, root):
     """Slot catalogues taken from the tables: questions, sources, languages."""
-    b = load(spark, root, "benchmark").select(F.col("item_id").alias("idx"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("value"))
+    b = load(spark, root, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("value"))
     d = documents(spark, root)
     s = d.select(F.substring("source", 4, 9).cast("bigint").alias("idx"), F.col("source").alias("value")).distinct()
     langs = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
@@ -405,18 +407,31 @@ def _slots(spark, root):
     return {"q": b, "s": s, "l": la}
 
 
-SQL_SLOTS3 = """b AS (SELECT item_id AS i, array_to_string(string_split(text, ' ')[1:4], ' ') AS q FROM benchmark),
+SQL_SLOTS3 = """b AS (SELECT item_id AS i, text AS q FROM benchmark),
 s AS (SELECT DISTINCT substr(source, 4)::BIGINT AS j, source AS s FROM documents), l AS (SELECT DISTINCT list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS k, lang AS l FROM documents),
 n AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM s) AS ns),
 made AS (SELECT 'Ask ' || q || ' for ' || s || ' in ' || l || '.' AS instruction, 'About ' || q || ': ' || s AS response, i + j * nb + k * nb * ns AS row_idx FROM b, s, l, n)"""
 
 
+def sql_feistel(seed: int) -> str:
+    """Numbers x below 4 ** h, the least such domain of the product, and their images p."""
+    rounds, was = [], "f"
+    for i in range(4):
+        mixed = f"(('0x' || substr(md5('{seed}|{i}|' || r), 1, 8))::BIGINT & mask)"
+        rounds.append(f"f{i} AS (SELECT x, h, mask, r AS l, xor(l, {mixed}) AS r FROM {was})")
+        was = f"f{i}"
+    return """dom AS (SELECT total, greatest(1, (length(ltrim(bin(greatest(1, total - 1)), '0')) + 1) // 2)::INTEGER AS h FROM (SELECT count(*) AS total FROM made)),
+f AS (SELECT x, h, ((1 << h) - 1)::BIGINT AS mask, (x >> h)::BIGINT AS l, (x & ((1 << h) - 1))::BIGINT AS r FROM (SELECT unnest(range(0, (4 ** h)::BIGINT)) AS x, h FROM dom)),
+""" + ",\n".join(rounds) + f", per AS (SELECT x, ((l << h) | r)::BIGINT AS p FROM {was})"
+
+
 @query("c08_synthesize_templates", f"""
-WITH {SQL_SLOTS3}, u AS (SELECT *, row_number() OVER (PARTITION BY lower(instruction), lower(response) ORDER BY row_idx) AS c FROM made)
-SELECT instruction, response, 'template' AS source FROM u WHERE c = 1
-ORDER BY md5('9|' || lower(instruction) || '|' || lower(response)), lower(instruction) || '|' || lower(response) LIMIT 400""")
+WITH {SQL_SLOTS3}, {sql_feistel(9)}, u AS (SELECT *, row_number() OVER (PARTITION BY lower(instruction), lower(response) ORDER BY x) AS c FROM made JOIN per ON p = row_idx)
+SELECT instruction, response, 'template' AS source FROM u WHERE c = 1 ORDER BY x LIMIT (SELECT total // 2 FROM dom)""")
 def synthesize_templates(spark, root):
-    return sy.synthesize_templates(spark, _slots(spark, root), "Ask {q} for {s} in {l}.", "About {q}: {s}", 400, 9).select(
+    slots = _slots(spark, root)
+    half = math.prod(v.count() for v in slots.values()) // 2
+    return sy.synthesize_templates(spark, slots, "Ask {q} for {s} in {l}.", "About {q}: {s}", half, 9).select(
         "instruction", "response", "source")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import collapse, strip
 from corpusflow.operators.dedupe import first_wins_dedupe
 from corpusflow.operators.sampling import seeded_sample
-from corpusflow.operators.scan import bounded_broadcast, hash_order
+from corpusflow.operators.scan import bounded_broadcast, hash_order, take_first
+from corpusflow.session import settle
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -20,22 +22,22 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*made) if made else F.lit("")
 
 
-def combine_slots(spark: SparkSession, slots: dict[str, DataFrame], rows: int | None = None,
-                  cycle: bool = False, start: int = 0) -> DataFrame:
-    """Rows ``row_idx, <slot>...``.
+def permuted(x: Column, half: int, seed: int) -> Column:
+    """A keyed permutation of the numbers below 4 ** half: four Feistel rounds over their halves."""
+    mask = (1 << half) - 1
+    left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(mask))
+    for i in range(4):
+        mixed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(i)), right.cast("string"))), 1, 8), 16, 10)
+        left, right = right, left.bitwiseXOR(mixed.cast("bigint").bitwiseAND(F.lit(mask)))
+    return F.shiftleft(left, half).bitwiseOR(right)
 
-    Every combination, or with ``cycle`` the i-th row takes value ``i mod size`` of each slot.
-    A slot is ``(idx, value)`` with ``idx`` from 0; the row number is decoded to one index per
-    slot and each slot is an equi join on it."""
-    sizes = {name: df.count() for name, df in slots.items()}
-    total = rows if cycle else 1
-    if not cycle:
-        for n in sizes.values():
-            total *= n
-    if min(sizes.values(), default=0) == 0:
-        total = 0
-    out = spark.range(start, start + total).withColumnRenamed("id", "row_idx")
-    step = 1
+
+def combine_slots(rows: DataFrame, slots: dict[str, DataFrame], sizes: dict[str, int], cycle: bool = False) -> DataFrame:
+    """``rows`` with a value of every slot, ``(idx, value)`` with ``idx`` from 0.
+
+    ``row_idx`` is a number of the product of the slots, decoded to one index per slot, or with ``cycle`` taken
+    modulo the size of each; each slot is an equi join on its index."""
+    out, step = rows, 1
     for name, df in slots.items():
         at = F.col("row_idx") % sizes[name] if cycle else F.floor(F.col("row_idx") / step).cast("bigint") % sizes[name]
         side = bounded_broadcast(df.select(F.col("idx").cast("bigint").alias("_i"), F.col("value").alias(name)))
@@ -47,22 +49,35 @@ def combine_slots(spark: SparkSession, slots: dict[str, DataFrame], rows: int |
 def synthesize_templates(spark: SparkSession, slots: dict[str, DataFrame], instruction: str, response: str,
                          n: int, seed: int, source: str = "template", history: str = "",
                          pad: bool = False) -> DataFrame:
-    """``n`` distinct rows chosen by hash; ``pad`` tops up with cycled rows that may repeat."""
-    def render(df: DataFrame) -> DataFrame:
-        values = {name: F.col(name).cast("string") for name in slots}
-        return df.select(
-            fill(instruction, values).alias("instruction"), fill(response, values).alias("response"),
-            F.lit(history).alias("history"), F.lit(source).alias("source"), "row_idx")
-    made = first_wins_dedupe(
-        render(combine_slots(spark, slots)),
-        [F.lower("instruction"), F.lower("response")], ["row_idx"])
-    key = F.concat_ws("|", F.lower("instruction"), F.lower("response"))
-    out = seeded_sample(made, n, seed, key)
-    if not pad:
+    """``n`` distinct rows of the product of the slots, in the order of a keyed permutation of it; ``pad`` tops
+    up with cycled rows that may repeat.
+
+    The product is never made: some 2n numbers of the permutation are decoded and rendered, and more only if
+    equal texts leave too few."""
+    values = {name: F.col(name).cast("string") for name in slots}
+    sizes = {name: df.count() for name, df in slots.items()}
+    total = math.prod(sizes.values())
+    half = max(1, (max(1, total - 1).bit_length() + 1) // 2)
+    domain = 4 ** half
+
+    def render(df: DataFrame, order: str) -> DataFrame:
+        return df.select(fill(instruction, values).alias("instruction"), fill(response, values).alias("response"),
+                         F.lit(history).alias("history"), F.lit(source).alias("source"), F.col(order).alias("row_idx"))
+
+    upto = min(domain, 64 + 2 * n * domain // max(1, total))
+    while True:
+        drawn = spark.range(upto).select(F.col("id").alias("at"), permuted(F.col("id"), half, seed).alias("row_idx")).filter(F.col("row_idx") < total)
+        made = first_wins_dedupe(render(combine_slots(drawn, slots, sizes), "at"), [F.lower("instruction"), F.lower("response")], ["row_idx"])
+        made = settle(made)
+        found = made.count()
+        if found >= n or upto == domain:
+            break
+        upto = min(domain, 4 * upto)
+    out = take_first(made, n, [F.col("row_idx")], F.floor(F.col("row_idx") / F.lit(max(1, domain // 65_536))))
+    if not pad or found >= n or not total:
         return out
-    missing = max(0, n - made.count())
-    extra = render(combine_slots(spark, slots, missing, True))
-    return out.unionByName(extra.withColumn("row_idx", F.col("row_idx") + F.lit(10 ** 15)))
+    extra = combine_slots(spark.range(n - found).withColumnRenamed("id", "row_idx"), slots, sizes, True)
+    return out.unionByName(render(extra, "row_idx").withColumn("row_idx", F.col("row_idx") + F.lit(domain)))
 
 
 NOISE = [("pourquoi", "pq"), ("comment", "comt"), ("probabilites", "probas"), ("modele", "model"),
