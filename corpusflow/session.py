@@ -60,11 +60,19 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table that several later steps read, and continue from the written copy.
 
     The copy cuts the lineage, survives lost executors, and gives the readers column pruning
-    and real sizes."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    and real sizes. The shuffles behind it are of no more use: their files go when it is written."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
