@@ -362,16 +362,19 @@ def similar(docs: DataFrame, keyed: DataFrame, distinct: DataFrame, words: int,
                       .applyInArrow(lambda t: _meet(t, p, q, small, later), "a long, b long").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
             for _, _, buf, offsets in chunks(batch, "text", 1 << 20):
                 h, _, n, sig = _sets(buf, offsets, words)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), _lists(h, n)], names=["sig", "held"])
+                made = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), _lists(h, n)], names=["sig", "held"])
+                yield made.filter(pa.array([not (x in met or met.add(x) is not None) for x in sig.tolist()], pa.bool_()))
 
     def linked(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
         ids = settle(distinct.select("sig", F.col("low.doc_id").alias("doc_id")).join(ends, "sig", "left_semi"))
         texts = docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("text")
-        held = settle(texts.mapInArrow(sets, "sig long, held array<long>").join(ids.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]))
+        # other texts under these ids take no part below; a text that one id has in two tasks only repeats its pairs
+        held = settle(texts.mapInArrow(sets, "sig long, held array<long>"))
         both = (pairs.join(held.select(F.col("sig").alias("a"), F.col("held").alias("x")), "a")
                 .join(held.select(F.col("sig").alias("b"), F.col("held").alias("y")), "b"))
         common = F.size(F.array_intersect("x", "y"))
