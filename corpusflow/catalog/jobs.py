@@ -220,6 +220,21 @@ def build_feeding_bundle(spark, root):
     return _bundle(spark, root)["bundle"].select("instruction", "response", "source", "group")
 
 
+@query("c02_bundle_from_files", f"WITH {SQL_BUNDLE} SELECT instruction, response, source, g AS \"group\" FROM final WHERE rf = 1 AND g <> 'feedback'")
+def bundle_from_files(spark, root):
+    """The groups written as a CSV file each and read back; without feedback."""
+    d = doc_rows(spark, root)
+    folder = scratch(spark)
+    paths = {}
+    for i, g in enumerate(BUNDLE_GROUPS):
+        paths[g] = [f"{folder}/{g}.csv"]
+        fi.write_pairs(d.filter(F.col("src_rank") % 5 == i).orderBy("src_rank", "row_idx"), paths[g][0])
+    rows = bn.read_groups(spark, paths)
+    bundle = bn.build_feeding_bundle(chat_events(spark, root).limit(0), rows, BUNDLE)["bundle"]
+    bn.check_not_empty(bundle, BUNDLE)
+    return bundle.select("instruction", "response", "source", "group")
+
+
 @query("s10_run_report", f"""
 WITH {SQL_BUNDLE} SELECT 'counts' AS section, g AS key, count(*) AS value FROM final WHERE rf = 1 GROUP BY g
 UNION ALL SELECT 'cleaning_filter', g || '.' || reason, rows FROM counts
@@ -282,6 +297,18 @@ def continual_export(spark, root):
     return out["rows"].select("conv_id", "instruction", "response", "history", "dataset")
 
 
+@query("c03_seed_conversations", f"""
+WITH {SQL_DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM docs),
+p AS (SELECT 'csv_' || source || '_' || (doc_id + 1) AS cid, {strip('instruction')} AS q, {strip('response')} AS a FROM r WHERE n <= 3000)
+SELECT cid AS conv_id, count(*) AS messages FROM (SELECT cid, q, a, unnest([1, 2, 3]) FROM p) WHERE q <> '' AND a <> '' GROUP BY cid""")
+def seed_conversations(spark, root):
+    """An empty log: the documents seed the store, each with its source as history."""
+    seeds = doc_rows(spark, root).withColumns({"dataset": F.col("source"), "history": F.col("source")})
+    log = cn.pairs_from_events(_exchange_log(spark, root).limit(0))
+    out = cn.continual_conversations(log, CONTINUAL, seeds=seeds)
+    return out["messages"].groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"))
+
+
 @query("c03_reingest_adds_nothing", f"WITH {SQL_PAIRS} SELECT count(*) * 2 AS messages, 0::BIGINT AS added FROM pairs")
 def reingest(spark, root):
     p = cn.pairs_from_events(_exchange_log(spark, root))

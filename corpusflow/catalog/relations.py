@@ -691,7 +691,12 @@ WITH {SQL_CHAT}, g AS (SELECT *, row_number() OVER (PARTITION BY user_text, assi
   WHERE length(assistant_text) >= 24 AND in_domain AND NOT low)
 SELECT row_idx, user_text AS instruction, assistant_text AS response, '' AS history, 'continual_log' AS source FROM g WHERE copy = 1""")
 def continual_from_log(spark, root):
-    return po.continual_from_log(chat_events(spark, root))
+    """Half of the events come under the second producer's column names."""
+    e = chat_events(spark, root)
+    here = F.col("k") % 2 == 0
+    named = e.withColumns({"user": F.when(~here, F.col("user_text")), "assistant": F.when(~here, F.col("assistant_text")),
+                           "user_text": F.when(here, F.col("user_text")), "assistant_text": F.when(here, F.col("assistant_text"))})
+    return po.continual_from_log(po.alternate_event_names(named))
 
 
 @query("a16_dominant_response", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import (
-    mask_placeholders, norm_soft, strip, text_of, unmask,
+    mask_placeholders, strip, text_of, unmask,
 )
 from corpusflow.operators.scan import chunk_of, digest, with_neighbours
 
@@ -150,7 +150,3 @@ def translation_cache(pairs: DataFrame, cache: DataFrame, prefix: str = "en|fr::
             name, F.coalesce(F.col(f"_t_{name}"), F.col(col))
         ).drop(f"_t_{name}")
     return todo, out.drop("_done")
-
-
-def soft_key(c: Column | str) -> Column:
-    return digest(norm_soft(c))
