@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import chunks, integers, merged_runs, mixed, prefix_sums, range_hash, sliding_min, spread
 from corpusflow.llm.superkmer import NO_ID, keyed, range_lists, with_ranges
 
-BUCKET_BYTES = 16 << 20
-FLUSH_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+FLUSH_BYTES = 8 << 20
 PIECE = 1 << 20
 PLACE_BITS = 21
 GRAM = 24
@@ -224,27 +224,41 @@ def repeated_bytes(docs: DataFrame, length: int = 400, reach: int = 256, buckets
                     held = 0
         yield from flush(parts, pack)
 
+    def windows(places, raw, unpack, mark: np.ndarray | None = None):
+        """Of a blob: its whole stretches, a first hash of every window, and of the marked ones all that tells them."""
+        meta = np.frombuffer(unpack.decompress(places.as_py(), max_output_size=1 << 31), META)
+        buf = np.frombuffer(unpack.decompress(raw.as_py(), max_output_size=1 << 31), np.uint8)
+        text = meta[meta["text"]]
+        n = text["n"]
+        of = np.repeat(np.arange(len(text), dtype=np.int32), n)
+        inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(n + length - 1) - (n + length - 1), n) + inner
+        if mark is None:
+            return meta[meta["hit"]], range_hash(prefix_sums(buf), at, at + length)
+        of, inner, at = of[mark], inner[mark], at[mark]
+        one, two = (range_hash(prefix_sums(v), at, at + length) for v in (buf, _SECOND[buf]))
+        return one, two, text["doc"][of], text["tag"][of], text["at"][of] + inner
+
     def count(table: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor()
-        found, known = [], []
-        for places, raw in zip(table.column("places"), table.column("bytes")):
-            meta = np.frombuffer(unpack.decompress(places.as_py(), max_output_size=1 << 31), META)
-            buf = np.frombuffer(unpack.decompress(raw.as_py(), max_output_size=1 << 31), np.uint8)
-            whole = meta[meta["hit"]]
+        unpack, blobs = zstandard.ZstdDecompressor(), list(zip(table.column("places"), table.column("bytes")))
+        first, known = [], []
+        for places, raw in blobs:
+            whole, one = windows(places, raw, unpack)
             known.append((whole["doc"], whole["tag"], whole["at"], whole["at"] + whole["n"] + length - 1))
-            meta = meta[meta["text"]]
-            n = meta["n"]
-            first = np.cumsum(n + length - 1) - (n + length - 1)
-            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(first, n) + inner
-            one, two = (range_hash(prefix_sums(v), at, at + length) for v in (buf, _SECOND[buf]))
-            found.append((one, two, np.repeat(meta["doc"], n), np.repeat(meta["tag"], n), np.repeat(meta["at"], n) + inner))
-        one, two, doc, tag, start = (np.concatenate(v) for v in zip(*found))
+            first.append(one)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in first]))).tolist()
+        one = np.concatenate(first)
+        first.clear()
         order = np.argsort(one)
-        same = one[order][1:] == one[order][:-1]
-        many = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
-        many = many[np.lexsort((start[many], tag[many], doc[many], two[many], one[many]))]
-        m = [v[many] for v in (one, two, doc, tag, start)]
+        one = one[order]
+        same = one[1:] == one[:-1]
+        often = np.zeros(len(one), bool)  # windows whose first hash another one has
+        often[order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(one) else order] = True
+        del one, order, same
+        parts = [windows(*blob, unpack, often[lo:hi]) for blob, lo, hi in zip(blobs, edge, edge[1:]) if often[lo:hi].any()]
+        m = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 3
+        many = np.lexsort((m[4], m[3], m[2], m[1], m[0]))
+        m = [v[many] for v in m]
         lead = np.ones(len(many), bool)
         lead[1:] = (m[0][1:] != m[0][:-1]) | (m[1][1:] != m[1][:-1])
         first = np.maximum.accumulate(np.where(lead, np.arange(len(many)), 0))
