@@ -142,12 +142,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it; all columns stay.
+    """The rows of ``docs``, each as many times as the mix takes it; all columns stay, whatever their names.
 
     Equal rows are drawn each by itself and repeat by the sum of their copies."""
     taken = settle(mix(docs, weights, most, seed).groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")))
-    rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), "source", "text"))
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "source", "text").alias("_key"))
     if not taken.filter("_rows > 1").isEmpty():
         rows = rows.dropDuplicates(["_key"])
     kept = rows.join(taken.filter("_copies > 0").select("_key", "_copies").hint("shuffle_hash"), "_key")
-    return kept.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("row.*")

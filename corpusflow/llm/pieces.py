@@ -351,12 +351,14 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def decode(coded: DataFrame, path: str = MODEL, spark: SparkSession | None = None) -> DataFrame:
-    """All columns of ``coded`` with the ``text`` that its ids spell; without ids, the empty text.
+    """All columns of ``coded`` with the ``text`` that its ids spell, in place of one of that name; without ids, the
+    empty text.
 
     Bytes that are not UTF-8 become U+FFFD. Encoding and decoding give the text back, with U+2581 as a blank."""
     shared = coded.sparkSession.sparkContext.broadcast(read_vocabulary(path).raw)
     from pyspark.sql import types as T
 
+    coded = coded.drop("text")
     at = coded.columns.index("ids")
     schema = T.StructType([*coded.schema.fields]).add("text", "string")
 

@@ -396,7 +396,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
 
     Texts are linked whose sets of shingles have a Jaccard similarity of ``least`` or more; texts without words
     are alike. Rows without a doc_id take no part and stay. Rows that share a doc_id collapse only if they are
-    equal or linked."""
+    equal or linked. Columns may have any names."""
     p, q = Fraction(least).as_integer_ratio()
     whole = F.xxhash64(*docs.columns)
     part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"), "text")
@@ -407,7 +407,8 @@ def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
     keep = settle(rows.groupBy("id").agg(F.count("*").alias("_rows"))
                   .join(of.groupBy("root").agg(F.min("low").alias("id")).select("id"), "id", "left_semi")
                   .select("id.doc_id", "id._row", "_rows"))
-    kept = docs.withColumn("_row", whole).join(keep.select("doc_id", "_row").hint("shuffle_hash"), ["doc_id", "_row"], "left_semi")
+    whole_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"))
+    kept = whole_rows.join(keep.select("doc_id", "_row").hint("shuffle_hash"), ["doc_id", "_row"], "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_row"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))

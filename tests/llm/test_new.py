@@ -225,3 +225,24 @@ def test_whitening_edges(spark):
     assert got == {i: sum((5 * c - s) ** 2 for c, s in zip(v, sums)) for i, v in enumerate(x)}
     with pytest.raises(Exception, match="64 bits"):
         whiten.whiten(make([(1, [1e300]), (2, [0.0])], "double")).collect()
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    import corpus_pipeline
+    from corpusflow.llm import mixing, pieces, simhash
+    texts = ["a b c d e f", "a b c d e f", None, "", "other words of another text here", "x " * 3000]
+    names = ["_key", "_k", "_copies", "_rows", "_row", "row", "sig", "toxic_score", "toxic_reject"]
+    rows = [(i % 5, t, "en", "s", *([700 + i] * len(names))) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = {tuple(r) for r in docs.collect()}
+    for made in (mixing.mixed_rows(docs), simhash.keep_one(docs)):
+        assert made.columns == docs.columns and {tuple(r) for r in made.collect()} <= want and made.count()
+    from corpusflow.llm import toxicity
+    model = toxicity.train(docs, labels)
+    with pytest.raises(ValueError, match="taken"):
+        toxicity.score(docs, model)
+    assert toxicity.score(docs, model, ("a", "b")).columns == [*docs.columns, "a", "b"]
+    coded = pieces.encode(docs).withColumn("text", F.lit("old"))
+    assert {r.doc_id: r.text for r in pieces.decode(coded).collect()}[4] == "other words of another text here"
+    assert corpus_pipeline.without_personal_data(spark, docs, "").columns == docs.columns
