@@ -299,6 +299,8 @@ def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
 #: Texts of one key up to which all pairs are candidates at once. Larger keys first yield some pairs a text, and
 #: later only pairs that are still in different components.
 SMALL = 8
+#: Texts of a larger key that all others of it are compared with first.
+HUBS = 2
 
 
 def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
@@ -341,8 +343,9 @@ def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
                 break
             add(i, i + step)
         for lo, m in zip(cut[size > small].tolist(), size[size > small].tolist()):
-            hub = int(mixed(sig[lo:lo + m].view(np.uint64) ^ h[lo:lo + 1].view(np.uint64)).argmin()) + lo
-            add(np.full(m, hub), np.arange(lo, lo + m))
+            # a text with few shingles in front of a common one has few of its own: most others are near to it
+            for hub in (np.lexsort((mixed(sig[lo:lo + m].view(np.uint64)), pos[lo:lo + m]))[:HUBS] + lo).tolist():
+                add(np.full(m, hub), np.arange(lo, lo + m))
     names = h[cut[size > small]] if not later else np.zeros(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
     return pa.table({"a": pa.array(np.concatenate((a, names))),
