@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +25,49 @@ def exact_overlap(prompts: DataFrame, train: DataFrame, prompt: str = "prompt",
 
 
 def token_set(c: Column | str) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.split(norm_soft(c), " "), lambda t: t != "")))
-
-
-#: Tokens of most texts that come last in the order of an index; any set of them is right.
-FREQUENT = 2_000
-
-
-def _prefixes(sets: DataFrame, key: str, tokens: str, frequent: list[str], threshold: float) -> DataFrame:
-    """(key, n, pos, token): the first tokens of every set, in one order of all tokens, of which sets that are
-    similar enough share one."""
-    order = F.array_sort(F.transform(tokens, lambda x: F.struct(x.isin(frequent).alias("late"), F.xxhash64(x).alias("h"), x.alias("token"))))
-    n = F.size(tokens)
-    take = n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1
-    ready = sets.filter(n > 0).select(key, n.alias("n"), F.slice(order, F.lit(1), take).alias("o"))
-    return ready.select(key, "n", F.posexplode("o").alias("pos", "x")).select(key, "n", "pos", F.col("x.token").alias("token"))
+    return F.sort_array(F.array_distinct(F.array_remove(F.split(norm_soft(c), " "), "")))
+
+
+#: Tokens whose number of texts sets the order of an index, rare ones first; any set of them is right.
+COUNTED = 500_000
+#: Tokens that are fetched at once to compare sets.
+FETCHED = 200_000_000
+
+
+def _counted(sets: DataFrame, tokens: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent tokens and the number of sets that hold each, by hash."""
+    often = sets.select(F.explode(tokens).alias("token")).groupBy(F.xxhash64("token").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    t = often.filter("n > 1").orderBy(F.desc("n"), "h").limit(COUNTED).toArrow()
+    h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _prefixes(sets: DataFrame, key: str, tokens: str, counted: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """(key, n, pos, h): the hashes of the first tokens of every set, in one order of all tokens, of which sets
+    that are similar enough share one."""
+    known, count = counted
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            h, n = held.flatten().to_numpy(), held.value_lengths().to_numpy()
+            first = np.cumsum(n) - n
+            of = np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(h), np.int64)
+            if len(known) and len(h):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                rank = np.where(known[at] == h, count[at], 0)
+            h = h[np.lexsort((h, rank, of))]
+            pos = np.arange(len(h)) - first[of]
+            take = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            keep = pos < take[of]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(of[keep])), pa.array(n[of[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(h[keep])],
+                names=[key, "n", "pos", "h"])
+
+    hashed = sets.filter(F.size(tokens) > 0).select(key, F.transform(tokens, lambda x: F.xxhash64(x)).alias("held"))
+    return hashed.mapInArrow(run, f"{key} long, n int, pos int, h long")
 
 
 def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.70,
@@ -43,27 +75,31 @@ def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.7
     """Prompts for which some training text has a token-set Jaccard of at least ``threshold``.
 
     Equal sets are one entry on both sides, and a prompt whose set is there is done. Of the others, both sides are
-    indexed by their first tokens in one order, frequent ones last; sizes and places of a common token rule most
-    pairs out. Pairs are keys until then: each pair that stays fetches its two sets once. An empty prompt matches
-    an empty text."""
+    indexed by their first tokens in one order, rare ones first; sizes and places of a common token rule most
+    pairs out. Pairs are row numbers until then: each pair that stays fetches its two sets once, prompts in as many
+    turns as keep what is fetched bounded. An empty prompt matches an empty text."""
     sets = train.filter(strip(text) != "").select(token_set(text).alias("t"))
-    sets = settle(sets.groupBy(digest(F.array_join("t", " ")).alias("sid")).agg(F.first("t").alias("t")))
-    asked = settle(prompts.select(prompt_id, token_set(prompt).alias("p")).withColumn("pid", digest(F.array_join("p", " "))))
-    wanted = asked.groupBy("pid").agg(F.first("p").alias("p"))
-    same = F.col("pid") == F.col("sid")
-    found = wanted.join(sets.select("sid"), same, "left_semi").select("pid")
-    left = settle(wanted.join(sets.select("sid"), same, "left_anti"))
-    often = sets.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    frequent = [r["token"] for r in often.filter("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).collect()]
-    x, y = _prefixes(left, "pid", "p", frequent, threshold).alias("x"), _prefixes(sets, "sid", "t", frequent, threshold).alias("y")
+    sets = settle(sets.groupBy(digest(F.array_join("t", " ")).alias("key")).agg(F.first("t").alias("t"))
+                  .withColumn("sid", F.monotonically_increasing_id()))
+    asked = prompts.select(prompt_id, token_set(prompt).alias("p")).withColumn("key", digest(F.array_join("p", " ")))
+    wanted = asked.groupBy("key").agg(F.first("p").alias("p"))
+    left = settle(wanted.join(sets.select("key"), "key", "left_anti").withColumn("pid", F.monotonically_increasing_id()))
+    counted = _counted(sets, "t")
+    x, y = _prefixes(left, "pid", "p", counted, threshold).alias("x"), _prefixes(sets, "sid", "t", counted, threshold).alias("y")
     a, b = F.col("x.n"), F.col("y.n")
     reach = F.least(a - F.col("x.pos"), b - F.col("y.pos"))  # tokens that both may still share
     fits = (b >= a * F.lit(threshold) - 1e-9) & (a >= b * F.lit(threshold) - 1e-9) & (reach * F.lit(1 + threshold) >= (a + b) * F.lit(threshold) - 1e-9)
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).filter(fits).select("pid", "sid").distinct()
+    pairs = settle(x.join(y, F.col("x.h") == F.col("y.h")).filter(fits).groupBy("pid", "sid").agg(F.first("x.n").alias("n")))
+    turns = 1 + int(pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // FETCHED
     inter = F.size(F.array_intersect("p", "t"))
-    near = (pairs.join(left, "pid").join(sets, "sid")
-            .filter(inter / (F.size("p") + F.size("t") - inter) >= threshold).select("pid").distinct())
-    return asked.join(found.unionByName(near), "pid", "left_semi").select(prompt_id)
+    alike = inter / (F.size("p") + F.size("t") - inter) >= threshold
+    near = None
+    for k in range(turns):
+        turn = pairs.filter(F.pmod(F.xxhash64("pid"), F.lit(turns)) == k).select("pid", "sid")
+        hit = settle(turn.join(left.select("pid", "p"), "pid").join(sets.select("sid", "t"), "sid").filter(alike).select("pid").distinct())
+        near = hit if near is None else near.unionByName(hit)
+    missed = left.join(near, "pid", "left_anti").select("key")
+    return asked.select(prompt_id, "key").join(missed, "key", "left_anti").select(prompt_id)
 
 
 def contamination_report(prompts: DataFrame, train: DataFrame, threshold: float = 0.70,
