@@ -8,7 +8,8 @@ looks into the cells within that range; what meets in a cell is filtered by the
 segments and verified on the fingerprints. A cell returns a spanning set of its links, never its pairs.
 
 The pipeline's rule is a similarity of shingle sets, which no narrow radius of fingerprints covers: its stage
-(``keep_one``) joins texts on the shingles that similar texts must share and verifies the sets."""
+(``keep_one``) takes the links of the fingerprints and a join of the texts on the shingles that similar texts must
+share, and verifies the sets of both."""
 
 from __future__ import annotations
 
@@ -265,7 +266,7 @@ def _frequent(docs: DataFrame, words: int, most: int = 500_000) -> np.ndarray:
 
 def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """Columns of ``docs`` but the text, and digest ``sig``, number ``n`` and ``keys`` of its shingles; of equal
-    texts in a task only the first has its keys, the others null.
+    texts in a task only the first has its keys, the others null. ``fp`` is the SimHash of the text.
 
     In an order that all texts share, two texts of similarity p / q have a shingle in common among the first
     n - ceil(n * p / q) + 1 of each. These are the keys; frequent shingles come last in the order."""
@@ -289,11 +290,12 @@ def shingle_keys(docs: DataFrame, words: int, p: int, q: int) -> DataFrame:
                 keys = _lists(h[pos < length[of]], length)
                 keys = pa.ListArray.from_arrays(keys.offsets, keys.values, mask=pa.array(again))
                 yield pa.RecordBatch.from_arrays(
-                    [*rest.slice(lo, hi - lo).columns, pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), keys],
-                    names=[*others, "sig", "n", "keys"])
+                    [*rest.slice(lo, hi - lo).columns, pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), keys,
+                     pa.array(_simhash(buf, offsets, 4).view(np.int64))],
+                    names=[*others, "sig", "n", "keys", "fp"])
 
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(run, f"{schema}, sig long, n int, keys array<long>")
+    return docs.select(*others, "text").mapInArrow(run, f"{schema}, sig long, n int, keys array<long>, fp long")
 
 
 #: Texts of one key up to which all pairs are candidates at once. Larger keys first yield some pairs a text, and
@@ -352,9 +354,23 @@ def _meet(table: pa.Table, p: int, q: int, small: int, later: bool) -> pa.Table:
                      "b": pa.array(np.concatenate((b, names)), mask=np.arange(len(a) + len(names)) >= len(a))})
 
 
+def near_fingerprints(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of digests ``sig`` that the fingerprints link: the smallest digest of a fingerprint with its
+    others, and with those of the fingerprints that ``links`` yields within 4 bits."""
+    first = settle(distinct.groupBy("fp").agg(F.min("sig").alias("low")))
+    near = links(first.select("fp"))
+    ends = lambda c, d: first.select(F.col("fp").alias(c), F.col("low").alias(d))
+    pairs = near.join(ends("a", "x"), "a").join(ends("b", "y"), "b").select("x", "y")
+    same = distinct.select("fp", "sig").join(first, "fp").filter("sig <> low").select(F.col("low").alias("x"), F.col("sig").alias("y"))
+    return pairs.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def similar(docs: DataFrame, keyed: DataFrame, distinct: DataFrame, words: int, p: int, q: int) -> DataFrame:
     """(node, root): components of the digests ``sig`` over all pairs of similarity p / q or more.
 
+    Candidates are the pairs that the fingerprints link, and those that share a key, as no narrow radius of
+    fingerprints covers the similarity. All are verified.
+
     ``keyed`` has the keys of each digest at least once, ``distinct`` a document of each."""
     rows = keyed.filter("keys IS NOT NULL").select("sig", "n", F.posexplode("keys").alias("pos", "h"))
     small = SMALL
@@ -384,7 +400,7 @@ def similar(docs: DataFrame, keyed: DataFrame, distinct: DataFrame, words: int,
         return settle(both.filter(common * (p + q) >= p * (F.size("x") + F.size("y"))).select("a", "b"))
 
     found = candidates(rows, False)
-    edges = linked(found.filter("b IS NOT NULL"))
+    edges = linked(settle(near_fingerprints(distinct).unionByName(found.filter("b IS NOT NULL")).distinct()))
     roots = components(edges)
     large = found.filter("b IS NULL").select(F.col("a").alias("h")).distinct()
     if large.isEmpty():
@@ -398,13 +414,13 @@ def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
     """The documents that come first in their component, by doc_id and a hash of the row; all columns of ``docs`` stay.
 
     Texts are linked whose sets of shingles have a Jaccard similarity of ``least`` or more; texts without words
-    are alike. Rows without a doc_id take no part and stay. Rows that share a doc_id collapse only if they are
+    are alike. Near fingerprints and common shingles name the pairs that are compared. Rows without a doc_id take no part and stay. Rows that share a doc_id collapse only if they are
     equal or linked. Columns may have any names."""
     p, q = Fraction(least).as_integer_ratio()
     whole = F.xxhash64(*docs.columns)
     part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"), "text")
     rows = settle(shingle_keys(part, words, p, q)).withColumn("id", F.struct("doc_id", "_row"))
-    distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low")))
+    distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low"), F.min("fp").alias("fp")))
     of = settle(distinct.join(similar(part, rows, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
                 .select("sig", "low", F.coalesce("root", "sig").alias("root")))
     keep = settle(rows.groupBy("id").agg(F.count("*").alias("_rows"))
