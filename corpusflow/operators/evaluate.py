@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import lexicons as lx
-from corpusflow.functions.text import norm_text, strip, text_of, words
+from corpusflow.functions.text import let, norm_text, strip, text_of, words
 from corpusflow.operators.fold import ordered_fold
 
 
 def keyword_coverage(answers: DataFrame, cases: DataFrame, case: str = "case_id", answer: str = "answer",
                      keywords: str = "keywords", collapse_space: bool = True) -> DataFrame:
     """Matched keywords, hits and share per case."""
-    rows = answers.join(cases, case)
-    low = norm_text(answer) if collapse_space else strip(F.lower(text_of(answer)))
     wanted = F.filter(F.transform(keywords, lambda k: F.lower(strip(k))), lambda k: k != "")
-    out = rows.withColumn("_low", low).withColumn("_want", wanted)
-    out = out.withColumn("matched", F.filter("_want", lambda k: F.contains(F.col("_low"), k)))
+    if keywords in cases.columns:
+        rows = answers.join(cases.withColumn("_want", wanted), case)
+    else:
+        rows = answers.join(cases, case).withColumn("_want", wanted)
+    low = norm_text(answer) if collapse_space else strip(F.lower(text_of(answer)))
+    out = rows.withColumn("_low", low)
+    # a filter on a score names the text below; bound here, it isn't normalised again for every keyword
+    out = out.withColumn("matched", let(F.col("_low"), lambda x: F.filter("_want", lambda k: F.contains(x, k))))
     total = F.size("_want")
     share = F.when(total > 0, F.size("matched") / total).otherwise(F.lit(0.0))
     return out.withColumns({
