@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 from corpusflow.functions.labels import any_hint
 from corpusflow.functions.text import norm_soft, strip
 from corpusflow.functions import lexicons as lx
-from corpusflow.operators.scan import bounded_broadcast, digest
+from corpusflow.operators.scan import digest
 from corpusflow.session import settle
 
 
+#: Prompts whose keys, 32 bytes each, go to every task.
+FEW_PROMPTS = 200_000
+
+
 def exact_overlap(prompts: DataFrame, train: DataFrame, prompt: str = "prompt", text: str = "text") -> DataFrame:
     """Prompts whose normalised form occurs in the training texts."""
     known = train.filter(strip(text) != "").select(digest(norm_soft(text)).alias("_k"))
-    asked = bounded_broadcast(prompts.withColumn("_k", digest(norm_soft(prompt))))
-    hit = known.join(asked.select("_k"), "_k", "left_semi").distinct()
-    return prompts.withColumn("_k", digest(norm_soft(prompt))).join(hit, "_k", "left_semi").drop("_k")
+    asked = prompts.withColumn("_k", digest(norm_soft(prompt)))
+    if prompts.limit(FEW_PROMPTS + 1).count() <= FEW_PROMPTS:
+        known = known.join(F.broadcast(asked.select("_k").distinct()), "_k", "left_semi")
+    return asked.join(known.distinct(), "_k", "left_semi").drop("_k")
 
 
 def token_set(c: Column | str) -> Column:
