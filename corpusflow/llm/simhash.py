@@ -371,7 +371,8 @@ def similar(docs: DataFrame, keyed: DataFrame, distinct: DataFrame, words: int,
     Candidates are the pairs that the fingerprints link, and those that share a key, as no narrow radius of
     fingerprints covers the similarity. All are verified.
 
-    ``keyed`` has the keys of each digest at least once, ``distinct`` a document of each."""
+    ``keyed`` has the keys of each digest at least once, ``distinct`` a document ``low`` of each, whose text is that
+    of its doc_id in ``docs``. No doc_id is null."""
     rows = keyed.filter("keys IS NOT NULL").select("sig", "n", F.posexplode("keys").alias("pos", "h"))
     small = SMALL
     buckets = F.pmod(F.xxhash64("h"), F.lit(16 * spread(docs))).alias("bucket")
@@ -414,20 +415,23 @@ def keep_one(docs: DataFrame, words: int = 5, least: str = "0.8") -> DataFrame:
     """The documents that come first in their component, by doc_id and a hash of the row; all columns of ``docs`` stay.
 
     Texts are linked whose sets of shingles have a Jaccard similarity of ``least`` or more; texts without words
-    are alike. Near fingerprints and common shingles name the pairs that are compared. Rows without a doc_id take no part and stay. Rows that share a doc_id collapse only if they are
-    equal or linked. Columns may have any names."""
+    are alike. Near fingerprints and common shingles name the pairs that are compared. Rows without a doc_id take
+    part like the others, known by the hash of the row, and come last in their component. Rows that share a doc_id
+    collapse only if they are equal or linked. Columns may have any names."""
     p, q = Fraction(least).as_integer_ratio()
     whole = F.xxhash64(*docs.columns)
-    part = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"), "text")
-    rows = settle(shingle_keys(part, words, p, q)).withColumn("id", F.struct("doc_id", "_row"))
+    known = F.col("doc_id").cast("long")
+    ids = [known.isNull().alias("none"), F.coalesce(known, whole).alias("doc_id"), whole.alias("_row")]
+    names = ["none", "doc_id", "_row"]
+    part = docs.select(*ids, "text")
+    rows = settle(shingle_keys(part, words, p, q)).withColumn("id", F.struct(*names))
     distinct = settle(rows.groupBy("sig").agg(F.min("id").alias("low"), F.min("fp").alias("fp")))
     of = settle(distinct.join(similar(part, rows, distinct, words, p, q).withColumnRenamed("node", "sig"), "sig", "left")
                 .select("sig", "low", F.coalesce("root", "sig").alias("root")))
     keep = settle(rows.groupBy("id").agg(F.count("*").alias("_rows"))
                   .join(of.groupBy("root").agg(F.min("low").alias("id")).select("id"), "id", "left_semi")
-                  .select("id.doc_id", "id._row", "_rows"))
-    whole_rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("_row"))
-    kept = whole_rows.join(keep.select("doc_id", "_row").hint("shuffle_hash"), ["doc_id", "_row"], "left_semi")
+                  .select(*[f"id.{n}" for n in names], "_rows"))
+    kept = docs.select(F.struct("*").alias("row"), *ids).join(keep.select(*names).hint("shuffle_hash"), names, "left_semi")
     if not keep.filter("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_row"])
-    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+        kept = kept.dropDuplicates(names)
+    return kept.select("row.*")
