@@ -162,7 +162,8 @@ def jaccard_overlap(prompts: DataFrame, train: DataFrame, threshold: float = 0.7
 def contamination_report(prompts: DataFrame, train: DataFrame, threshold: float = 0.70,
                          prompt_id: str = "prompt_id", prompt: str = "prompt", text: str = "text") -> DataFrame:
     """One row: prompts, exact and near overlap, both rates."""
-    exact = exact_overlap(prompts, train, prompt, text).agg(F.count(F.lit(1)).alias("exact_norm_overlap"))
+    # counted before the sets are written, so that its shuffles do not lie beside them
+    exact = settle(exact_overlap(prompts, train, prompt, text).agg(F.count(F.lit(1)).alias("exact_norm_overlap")))
     near = jaccard_overlap(prompts, train, threshold, prompt_id, prompt, text).agg(
         F.count(F.lit(1)).alias("high_jaccard_overlap"))
     total = prompts.agg(F.count(F.lit(1)).alias("prompts"))
