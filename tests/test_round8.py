@@ -48,3 +48,25 @@ def test_parities_rule_out_no_similar_pair(spark):
     want = [i for i, t in asked if any(len(set(t.split()) & s) / len(set(t.split()) | s) >= 0.7 for s in sets)]
     got = overlap.jaccard_overlap(spark.createDataFrame(asked, "prompt_id int, prompt string"), spark.createDataFrame(train, "text string"), 0.7)
     assert sorted(r.prompt_id for r in got.collect()) == want and len(want) > 50
+
+
+def test_files_of_the_curated_stream_hold_no_texts(spark, root, monkeypatch):
+    """Many events share the texts of an exchange: the files have its number, and the texts join the stream."""
+    from corpusflow.catalog import streams
+    made, passed = [], []
+
+    def watched(df, key, flush, ts="ts", make=streams.late_files):
+        made.append(df)
+        return make(df, key, flush, ts)
+
+    monkeypatch.setattr(streams, "late_files", watched)
+    monkeypatch.setattr(streams, "finish", lambda df: df)
+    monkeypatch.setattr(streams.so, "curate_stream", lambda rows, policy, delay: passed.append(rows) or spark.createDataFrame([], "row_idx long, instruction string, response string, source string"))
+    streams.curate_stream(spark, root)
+    assert not {"user_text", "assistant_text", "summary"} & set(made[0].columns)
+    names = ["row_idx", "user_text", "assistant_text", "k"]
+    query = passed[0].select(*names).writeStream.format("memory").queryName("curated").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = streams.chat_events(spark, root).select(*names)
+    got = spark.table("curated").filter("row_idx >= 0")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.count()
